@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..operators.dedupe import one_per_key
 from ..sources.tables import table
-from . import distinctive, near, packing, repetition, tokens
+from . import distinctive, near, packing, repetition, splitting, tokens
 
 
 def mails(spark: SparkSession, d: str, *columns: str) -> DataFrame:
@@ -17,6 +17,18 @@ def mails(spark: SparkSession, d: str, *columns: str) -> DataFrame:
     return one_per_key(table(spark, d, "mail", "mail_id", *columns), "mail_id", list(columns))
 
 
+def p1_pieces(spark: SparkSession, d: str) -> DataFrame:
+    """Every opinion as ordered pieces of at most 6,000 characters."""
+    opinions = one_per_key(table(spark, d, "opinions", "opinion_id", "message"), "opinion_id", ["message"])
+    return splitting.split_oversized(opinions, "opinion_id").drop("sections", "pieces")
+
+
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    """Section starts of the opinions that have to be split."""
+    pieces = splitting.split_oversized(table(spark, d, "opinions", "opinion_id", "message"), "opinion_id")
+    return pieces.filter("pieces > 1").select("opinion_id", F.explode("sections").alias("start_pos")).distinct()
+
+
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     """Mails whose three-word sequences agree to 70 %."""
     members, links = near.near_duplicates(table(spark, d, "mail", "mail_id", "message"), "mail_id", "message", shingle=3, threshold=0.7, min_words=30)
@@ -49,7 +61,7 @@ def p10_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p6_found, p7_found, p8_ids, p9_containers, p10_found)}
+    return {f.__name__: f for f in (p1_found, p1_pieces, p6_found, p7_found, p8_ids, p9_containers, p10_found)}
 
 
 def oracle_sql() -> dict[str, str]:
