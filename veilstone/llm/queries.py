@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..operators.dedupe import one_per_key
 from ..sources.tables import table
-from . import distinctive, near, packing, repetition, splitting, tokens
+from . import distinctive, fresh, near, packing, personal, repetition, splitting, tokens
 
 
 def mails(spark: SparkSession, d: str, *columns: str) -> DataFrame:
@@ -29,6 +29,34 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
     return pieces.filter("pieces > 1").select("opinion_id", F.explode("sections").alias("start_pos")).distinct()
 
 
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    """Mails that hold more than new text, with the MD5 of the new text."""
+    rows = one_per_key(table(spark, d, "mail", "mail_id", "message", "subject", "mail_from", "x_from"), "mail_id", ["message", "subject", "mail_from", "x_from"])
+    return fresh.newly_written(rows, "mail_id").filter("trimmed").select("mail_id", "new_md5")
+
+
+def _personal(spark: SparkSession, d: str) -> tuple[DataFrame, personal.Patterns, DataFrame | None]:
+    """(src, rec_id, message) of mails and logs, and the patterns learned from both."""
+    texts = [table(spark, d, src, key, "message").select(F.lit(src).alias("src"), F.col(key).alias("rec_id"), "message") for src, key in (("mail", "mail_id"), ("logs", "log_id"))]
+    both = texts[0].unionByName(texts[1])
+    seeds = personal.seed_pairs(table(spark, d, "mail"), ["mail_from", "x_from", "mail_to"])
+    patterns, many = personal.learn(both, "message", seeds)
+    return both.withColumn("rec", F.struct("src", "rec_id")), patterns, many
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    """Every personal value of mails and logs."""
+    both, patterns, many = _personal(spark, d)
+    found = personal.find_values(both, "rec", "message", patterns, many)
+    return found.select("rec.src", "rec.rec_id", "kind", "val").distinct()
+
+
+def p5_redacted(spark: SparkSession, d: str) -> DataFrame:
+    """Mails and logs with typed placeholders."""
+    both, patterns, many = _personal(spark, d)
+    return personal.redact(both, "rec", "message", patterns, many).select("rec.src", "rec.rec_id", "redacted")
+
+
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     """Mails whose three-word sequences agree to 70 %."""
     members, links = near.near_duplicates(table(spark, d, "mail", "mail_id", "message"), "mail_id", "message", shingle=3, threshold=0.7, min_words=30)
@@ -61,7 +89,7 @@ def p10_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_pieces, p6_found, p7_found, p8_ids, p9_containers, p10_found)}
+    return {f.__name__: f for f in (p1_found, p1_pieces, p4_found, p5_found, p5_redacted, p6_found, p7_found, p8_ids, p9_containers, p10_found)}
 
 
 def oracle_sql() -> dict[str, str]:
