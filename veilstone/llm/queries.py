@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..operators.dedupe import one_per_key
 from ..sources.tables import table
-from . import distinctive, fresh, near, packing, personal, repetition, splitting, tokens
+from . import distinctive, fresh, near, packing, personal, repetition, splitting, tokens, variants
 
 
 def mails(spark: SparkSession, d: str, *columns: str) -> DataFrame:
@@ -29,6 +29,11 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
     return pieces.filter("pieces > 1").select("opinion_id", F.explode("sections").alias("start_pos")).distinct()
 
 
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    """Pairs of spellings of one person or firm."""
+    return variants.link_variants(table(spark, d, "mail", "mail_from", "x_from", "x_to", "mail_to"))
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     """Mails that hold more than new text, with the MD5 of the new text."""
     rows = one_per_key(table(spark, d, "mail", "mail_id", "message", "subject", "mail_from", "x_from"), "mail_id", ["message", "subject", "mail_from", "x_from"])
@@ -89,7 +94,7 @@ def p10_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_pieces, p4_found, p5_found, p5_redacted, p6_found, p7_found, p8_ids, p9_containers, p10_found)}
+    return {f.__name__: f for f in (p1_found, p1_pieces, p3_found, p4_found, p5_found, p5_redacted, p6_found, p7_found, p8_ids, p9_containers, p10_found)}
 
 
 def oracle_sql() -> dict[str, str]:
