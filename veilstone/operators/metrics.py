@@ -1,0 +1,153 @@
+"""Measures of retrieval, judgment and redaction."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+from ..functions.text import tokens
+
+#: Depths, the salt of the half split, and z of the interval (fixed values).
+KS = (10, 25, 50, 100, 200, 500)
+SPLIT_SALT = "derive/v1:"
+Z = 1.96
+
+
+def in_derive_half(doc_id: Column) -> Column:
+    """Even last digit of the SHA-1 of the salted id: a fixed half of any collection."""
+    return F.substring(F.sha1(F.concat(F.lit(SPLIT_SALT), doc_id.cast("string"))), 40, 1).isin(*"02468ace")
+
+
+def wilson(hits: Column, total: Column) -> Column:
+    """struct(low, high): Wilson interval in percent, one decimal, within 0 and 100; (0, 0) for no trials."""
+    n, p = total.cast("double"), hits.cast("double") / total.cast("double")
+    middle, spread = p + Z * Z / (2 * n), Z * F.sqrt(p * (1 - p) / n + Z * Z / (4 * n * n))
+    low = F.round(100 * F.greatest(F.lit(0.0), (middle - spread) / (1 + Z * Z / n)), 1)
+    high = F.round(100 * F.least(F.lit(1.0), (middle + spread) / (1 + Z * Z / n)), 1)
+    return F.struct(F.when(total > 0, low).otherwise(0.0).alias("low"), F.when(total > 0, high).otherwise(0.0).alias("high"))
+
+
+def separable(a: Column, b: Column, total: Column) -> Column:
+    """Whether the intervals of two hit counts do not overlap."""
+    x, y = wilson(a, total), wilson(b, total)
+    return (x["low"] > y["high"]) | (y["low"] > x["high"])
+
+
+def extend_ks(ks: list[int], positive_count: int) -> list[int]:
+    """Sorted different depths, with the number of positives if that is deeper than all."""
+    out = sorted(set(ks))
+    return [*out, positive_count] if not out or max(out) < positive_count else out
+
+
+def _depths(df: DataFrame, ks: list[int]) -> DataFrame:
+    return df.withColumn("k", F.explode(F.array(*(F.lit(k) for k in ks))))
+
+
+def recall_at_k(ranked: DataFrame, positives: DataFrame, ks: list[int]) -> DataFrame:
+    """(k, found, of, percent, low, high, capped) of one ranking (doc_id, rank): positives in
+    the first k. capped tells that k is smaller than the number of positives."""
+    wanted = positives.select("doc_id").distinct()
+    best = ranked.groupBy("doc_id").agg(F.min("rank").alias("rank"))
+    one = wanted.join(best, "doc_id", "left").agg(F.count("*").alias("of"), *(F.count_if(F.col("rank") <= k).alias(f"f{k}") for k in ks))
+    rows = one.select("of", F.explode(F.array(*(F.struct(F.lit(k).alias("k"), F.col(f"f{k}").alias("found")) for k in ks))).alias("r")).select("r.k", "r.found", "of")
+    percent = F.round(F.when(F.col("of") > 0, 100.0 * F.col("found") / F.col("of")).otherwise(0.0), 1)
+    return rows.select("k", "found", "of", percent.alias("percent"), wilson(F.col("found"), F.col("of"))["low"].alias("low"), wilson(F.col("found"), F.col("of"))["high"].alias("high"), (F.col("k") < F.col("of")).alias("capped"))
+
+
+def target_ranks(ranked: DataFrame, targets: DataFrame) -> DataFrame:
+    """(subject, rank): where each subject's target stands in its ranking, null if it does not."""
+    return targets.join(ranked, ["subject", "doc_id"], "left").groupBy("subject").agg(F.min("rank").alias("rank"))
+
+
+def hit_rate_at_k(ranks: DataFrame, ks: list[int]) -> DataFrame:
+    """(k, hits, of, percent) over trials (subject, rank)."""
+    one = ranks.agg(F.count("*").alias("of"), *(F.count_if(F.col("rank") <= k).alias(f"h{k}") for k in ks))
+    rows = one.select("of", F.explode(F.array(*(F.struct(F.lit(k).alias("k"), F.col(f"h{k}").alias("hits")) for k in ks))).alias("r"))
+    return rows.select("r.k", "r.hits", "of", F.round(F.when(F.col("of") > 0, 100.0 * F.col("r.hits") / F.col("of")).otherwise(0.0), 1).alias("percent"))
+
+
+def mean_reciprocal_rank(ranks: DataFrame) -> DataFrame:
+    """(trials, mrr): a target that is not found counts 0."""
+    return ranks.agg(F.count("*").alias("trials"), F.round(F.coalesce(F.avg(F.coalesce(1.0 / F.col("rank"), F.lit(0.0))), F.lit(0.0)), 4).alias("mrr"))
+
+
+def precision_recall(flagged: DataFrame, positives: DataFrame, scanned: int) -> DataFrame:
+    """One row (flagged, positives, true_positives, precision, recall, false_per_1000).
+    precision is null if nothing is flagged, recall if nothing is positive."""
+    f, p = flagged.select("doc_id", F.lit(1).alias("f")).distinct(), positives.select("doc_id", F.lit(1).alias("p")).distinct()
+    one = f.join(p, "doc_id", "full").agg(F.count("f").alias("flagged"), F.count("p").alias("positives"), F.count_if(F.col("f").isNotNull() & F.col("p").isNotNull()).alias("true_positives"))
+    return one.select(
+        "*", F.round(F.col("true_positives") / F.nullif(F.col("flagged"), F.lit(0)), 3).alias("precision"), F.round(F.col("true_positives") / F.nullif(F.col("positives"), F.lit(0)), 3).alias("recall"),
+        F.round(1000.0 * (F.col("flagged") - F.col("true_positives")) / F.lit(max(scanned, 1)), 2).alias("false_per_1000"),
+    )
+
+
+def per_category(decoys: DataFrame, judged: DataFrame, flagged: DataFrame) -> DataFrame:
+    """(category, judged, flagged, rate) of decoys (doc_id, category); only judged ones count, worst first."""
+    rows = decoys.join(judged.select("doc_id").distinct(), "doc_id", "left_semi").join(flagged.select("doc_id", F.lit(1).alias("f")).distinct(), "doc_id", "left")
+    return rows.groupBy("category").agg(F.count("*").alias("judged"), F.count("f").alias("flagged")).withColumn("rate", F.round(F.col("flagged") / F.col("judged"), 3)).orderBy(F.desc("rate"), "category")
+
+
+def span_validity(evaluations: DataFrame, docs: DataFrame) -> DataFrame:
+    """(snippets, verbatim, share): how many snippets stand in their document letter by letter."""
+    rows = evaluations.select("doc_id", F.explode("identifying_snippets").alias("s")).join(docs.select("doc_id", "text"), "doc_id")
+    return rows.agg(F.count("*").alias("snippets"), F.count_if(F.contains("text", "s")).alias("verbatim")).withColumn("share", F.round(F.col("verbatim") / F.nullif(F.col("snippets"), F.lit(0)), 4))
+
+
+def over_redaction(evaluations: DataFrame, docs: DataFrame) -> DataFrame:
+    """(documents, mean, most): the share of a text that its different present snippets cover;
+    empty texts are left out, a repeated occurrence counts once."""
+    rows = evaluations.join(docs.select("doc_id", "text"), "doc_id").filter(F.length("text") > 0)
+    cut = F.aggregate(F.array_distinct(F.col("identifying_snippets")), F.lit(0), lambda a, s: a + F.when(F.contains(F.col("text"), s), F.length(s)).otherwise(0))
+    return rows.agg(F.count("*").alias("documents"), F.round(F.avg(cut / F.length("text")), 4).alias("mean"), F.round(F.max(cut / F.length("text")), 4).alias("most"))
+
+
+def usable_terms(terms: DataFrame, aliases: list[str], least: int = 3) -> DataFrame:
+    """terms (term, ...) without short ones, figures and parts of the aliases in any case."""
+    banned = sorted({p for a in aliases for p in [a.lower(), *(x for x in _parts(a) if x)]})
+    kept = terms.filter((F.length("term") >= least) & ~F.col("term").rlike(r"^[\d.,]+$"))
+    return kept.filter(~F.lower("term").isin(banned)) if banned else kept
+
+
+def _parts(alias: str) -> list[str]:
+    import re
+
+    return re.split(r"[@.\s]+", alias.lower())
+
+
+#: Sentences that profiles are made of (own wording).
+WORDINGS = ("Somebody connected with {}.", "The person these documents describe deals with {}.", "Find whoever is spoken of together with {}.")
+
+
+def build_profiles(terms: list[str], per_profile: int = 5, keywords: int = 8) -> list[dict]:
+    """Three profiles, each with its own terms (the last repeated where they run out) in its own
+    wording; keywords are the first terms overall. No terms give no profiles."""
+    if not terms:
+        return []
+    padded = terms + [terms[-1]] * max(0, per_profile * len(WORDINGS) - len(terms))
+    return [{"profile": w.format(", ".join(padded[i * per_profile : (i + 1) * per_profile])), "keywords": " ".join(terms[:keywords])} for i, w in enumerate(WORDINGS)]
+
+
+def compare_modes(runs: DataFrame, top_k: int, margin: float = 1.0) -> DataFrame:
+    """One row about runs (mode, k, percent, of): the best of each mode at top_k, the gap there,
+    the widest gap at any depth, whether the intervals are apart, and who is ahead."""
+    best = runs.groupBy("k").agg(F.coalesce(F.max(F.when(F.col("mode") == "hybrid", F.col("percent"))), F.lit(0.0)).alias("h"), F.coalesce(F.max(F.when(F.col("mode") == "bm25_only", F.col("percent"))), F.lit(0.0)).alias("b"), F.max("of").alias("of"))
+    gaps = best.withColumn("gap", F.round(F.col("h") - F.col("b"), 1))
+    at = lambda c: F.max(F.when(F.col("k") == top_k, F.col(c)))
+    one = gaps.agg(at("h").alias("best_hybrid"), at("b").alias("best_bm25"), at("gap").alias("gap"), at("of").alias("positives"), F.max_by("k", F.struct(F.abs("gap"), (F.col("k") == top_k), -F.col("k"))).alias("widest_k"), F.max_by("gap", F.struct(F.abs("gap"), (F.col("k") == top_k), -F.col("k"))).alias("widest_gap"))
+    hits = lambda c: F.bround(F.col(c) * F.col("positives") / 100, 0)
+    lead = F.when(F.abs("gap") < margin, "level").when(F.col("gap") > 0, "hybrid").otherwise("bm25_only")
+    shape = F.when((F.col("widest_k") != top_k) & (F.abs("widest_gap") >= F.abs("gap") + margin), F.when((F.col("gap") != 0) & ((F.col("gap") > 0) != (F.col("widest_gap") > 0)), "crossover").otherwise("convergence")).otherwise("steady")
+    return one.select("*", separable(hits("best_hybrid"), hits("best_bm25"), F.col("positives")).alias("disjoint"), lead.alias("lead"), shape.alias("shape"))
+
+
+def subject_terms(docs: DataFrame, subject: str, key: str, text: str, count: int = 20, least_docs: int = 2) -> DataFrame:
+    """(subject, term): for every subject the terms of its texts that mark them out most, by
+    tf * ln(N / df), for all subjects in one job; terms of a single document are no queries."""
+    toks = docs.select(F.col(subject).alias("subject"), F.col(key).alias("id"), F.explode(tokens(F.col(text))).alias("term")).filter((F.length("term") >= 4) & ~F.col("term").rlike(r"^\d+$"))
+    df = toks.groupBy("term").agg(F.countDistinct("id").alias("df")).filter(F.col("df") >= least_docs)
+    tf = toks.groupBy("subject", "term").agg(F.count("*").alias("tf"))
+    n = docs.count()
+    w = Window.partitionBy("subject").orderBy(F.desc("score"), "term")
+    scored = tf.join(df, "term").withColumn("score", F.round(F.col("tf") * F.log(F.lit(float(n)) / F.col("df")), 6))
+    return scored.withColumn("r", F.row_number().over(w)).filter(F.col("r") <= count).select("subject", "term")
