@@ -27,7 +27,6 @@ TREES, DEPTH, RECALL = 40, 8, 0.999
 #: Members of a trie node up to which it is one join group; larger nodes are joined block by block.
 NODE_BLOCK = 256
 _WORDS_KEPT = 500_000
-_M = 0xFFFFFFFFFFFFFFFF
 
 
 def words(text: str | None) -> list[str]:
@@ -76,12 +75,15 @@ def _permutations(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def signature(values: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """The smallest value of each permutation of 32-bit numbers."""
-    x = values[:, None] * a + b
-    x ^= x >> np.uint32(15)
-    x *= np.uint32(0x2C1B3C6D)
-    x ^= x >> np.uint32(13)
-    return x.min(0)
+    """The smallest value of each permutation of 32-bit numbers, a slice at a time."""
+    low = np.full(len(a), 0xFFFFFFFF, np.uint32)
+    for at in range(0, len(values), 4096):
+        x = values[at : at + 4096, None] * a + b
+        x ^= x >> np.uint32(15)
+        x *= np.uint32(0x2C1B3C6D)
+        x ^= x >> np.uint32(13)
+        np.minimum(low, x.min(0), out=low)
+    return low
 
 
 def text_classes(df: DataFrame, key: str, text: str, min_words: int) -> tuple[DataFrame, DataFrame]:
@@ -124,7 +126,7 @@ def near_duplicates(df: DataFrame, key: str, text: str = "message", shingle: int
     members = records.select("class", key)
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """One row per class met in a batch: its shingles and the trie nodes it lies in."""
+        """One row per class met in a task: its shingles and the trie nodes it lies in."""
         import xxhash
 
         hashed, seen = _Hashed(), set()
@@ -151,9 +153,9 @@ def near_duplicates(df: DataFrame, key: str, text: str = "message", shingle: int
             )
 
     signed = written(records.select("class", "line").mapInArrow(sign, "class binary, shingles array<int>, nodes array<bigint>"), "signed")
-    # one number per class keeps the join rows short; equal classes get equal numbers
+    # one number per class keeps the join rows short; two classes of one number would both be verified
     number = F.xxhash64("class")
-    at = signed.select(number.alias("c"), F.size("shingles").alias("n"), F.explode("nodes").alias("node")).distinct()
+    at = signed.select(number.alias("c"), F.size("shingles").alias("n"), F.explode("nodes").alias("node"))
     sizes = at.groupBy("node").agg(F.count("*").alias("m")).filter(F.col("m") > 1)
     shared = at.join(sizes, "node")
     blocks = F.ceil(F.col("m") / node_block).cast("int")
@@ -171,7 +173,7 @@ def near_duplicates(df: DataFrame, key: str, text: str = "message", shingle: int
     sets = signed.select(number.alias("c"), "class", "shingles")
     met = written(met, "met")
     needed = met.select(F.explode(F.array("c", "d")).alias("c")).distinct()
-    sets = written(sets.join(needed, "c", "left_semi").dropDuplicates(["c"]), "sets")
+    sets = written(sets.join(needed, "c", "left_semi").dropDuplicates(["class"]), "sets")
     pairs = (
         met.join(sets.select("c", F.col("class").alias("class_a"), F.col("shingles").alias("x")), "c")
         .join(sets.select(F.col("c").alias("d"), F.col("class").alias("class_b"), F.col("shingles").alias("y")), "d")
