@@ -133,8 +133,8 @@ def screen(df: DataFrame, text: str, given: str, surname: str, threshold: float
 
 def profile(df: DataFrame, key: str, text: str, surname: str, house: str) -> DataFrame:
     """One row (documents, descriptive, list_only, distinct_descriptive) about one surname."""
-    found = mentions(df, key, text, surname, house).join(df.select(key, near_dup_key(F.col(text)).alias("k")), key)
-    return found.agg(F.count("*").alias("documents"), F.count_if(F.col("descriptive") > 0).alias("descriptive"), F.count_if(F.col("descriptive") == 0).alias("list_only"), F.countDistinct(F.when(F.col("descriptive") > 0, F.col("k"))).alias("distinct_descriptive"))
+    found = mentions(df, key, text, surname, house).join(df.select(key, near_dup_key(F.col(text)).alias("__dup")), key)
+    return found.agg(F.count("*").alias("documents"), F.count_if(F.col("descriptive") > 0).alias("descriptive"), F.count_if(F.col("descriptive") == 0).alias("list_only"), F.countDistinct(F.when(F.col("descriptive") > 0, F.col("__dup"))).alias("distinct_descriptive"))
 
 
 def rank_subjects(df: DataFrame, key: str, text: str, subjects: DataFrame, house: str) -> DataFrame:
@@ -142,14 +142,14 @@ def rank_subjects(df: DataFrame, key: str, text: str, subjects: DataFrame, house
     best described first. Surnames meet texts by their tokens, an equi-join, not by a scan per
     subject."""
     t = F.coalesce(F.col(text), F.lit(""))
-    words = df.select(F.col(key), t.alias("__t"), near_dup_key(t).alias("k"), F.explode(F.array_distinct(F.regexp_extract_all(F.lower(t), F.lit(r"([\p{L}\p{N}_]+)"), 1))).alias("w"))
-    met = words.join(subjects.select("surname", F.lower("surname").alias("w")).distinct(), "w")
+    words = df.select(F.col(key), t.alias("__t"), near_dup_key(t).alias("__dup"), F.explode(F.array_distinct(F.regexp_extract_all(F.lower(t), F.lit(r"([\p{L}\p{N}_]+)"), 1))).alias("__w"))
+    met = words.join(subjects.select("surname", F.lower("surname").alias("__w")).distinct(), "__w")
     parts = F.split(F.lower("__t"), F.concat(F.lit(r"\Q"), F.lower("surname"), F.lit(r"\E")), -1)
     starts = F.aggregate(
         F.slice(parts, 1, F.size(parts) - 1), F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out")),
         lambda a, p: F.struct((a["at"] + F.length(p) + F.length("surname")).alias("at"), F.array_append(a["out"], a["at"] + F.length(p)).alias("out")), lambda a: a["out"],
     )
     flags = F.transform(starts, lambda s: is_list_context(around(F.col("__t"), s, s + F.length("surname"), MENTION_WINDOW), mention_headers(house)))
-    per = met.select("surname", key, "k", F.exists(flags, lambda x: ~x).alias("d"))
-    ranked = per.groupBy("surname").agg(F.count("*").alias("documents"), F.count_if("d").alias("descriptive"), F.countDistinct(F.when(F.col("d"), F.col("k"))).alias("distinct_descriptive"))
+    per = met.select("surname", key, "__dup", F.exists(flags, lambda x: ~x).alias("__d"))
+    ranked = per.groupBy("surname").agg(F.count("*").alias("documents"), F.count_if("__d").alias("descriptive"), F.countDistinct(F.when(F.col("__d"), F.col("__dup"))).alias("distinct_descriptive"))
     return ranked.orderBy(F.desc("distinct_descriptive"), "surname")
