@@ -97,5 +97,19 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (p1_found, p1_pieces, p3_found, p4_found, p5_found, p5_redacted, p6_found, p7_found, p8_ids, p9_containers, p10_found)}
 
 
+_P6 = r"""WITH d AS (SELECT mail_id, regexp_extract_all(lower(any_value(message)), '[a-z0-9]+') AS w FROM mail WHERE message IS NOT NULL GROUP BY 1),
+s AS (SELECT mail_id, list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) AS g FROM d WHERE len(w) >= 30),
+x AS (SELECT mail_id, len(g) AS n, unnest(g) AS t FROM s)
+SELECT mail_a, mail_b FROM (SELECT a.mail_id AS mail_a, b.mail_id AS mail_b, count(*) AS c, any_value(a.n) AS na, any_value(b.n) AS nb FROM x a JOIN x b ON a.t = b.t AND a.mail_id < b.mail_id AND a.n >= 0.7 * b.n AND b.n >= 0.7 * a.n GROUP BY 1, 2) WHERE c >= 0.7 * (na + nb - c)"""
+_P7 = r"""WITH m AS (SELECT 'mail' AS src, mail_id AS rec_id, any_value(message) AS t FROM mail GROUP BY mail_id UNION ALL SELECT 'opinions', opinion_id, any_value(message) FROM opinions GROUP BY opinion_id),
+w AS (SELECT src, rec_id, unnest(list_filter(regexp_extract_all(lower(t), '[a-z]+'), lambda x: length(x) >= 4)) AS term FROM m), c AS (SELECT src, rec_id, term, count(*) AS n FROM w GROUP BY ALL)
+SELECT src, rec_id, term FROM (SELECT *, count(*) OVER (PARTITION BY src, term) AS df FROM c) WHERE n >= 4 AND df <= 5"""
+_P10 = r"""WITH d AS (SELECT doc_id, list_filter(string_split_regex(lower(text), '[ \t\n\r]+'), lambda x: x <> '') AS w FROM documents),
+g AS (SELECT doc_id, len(w) AS n, unnest(range(1, len(w) - 6)) AS i, w FROM d WHERE len(w) > 8), h AS (SELECT doc_id, n, i, array_to_string(w[i:i + 7], ' ') AS t FROM g),
+r AS (SELECT doc_id, n, i FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, t) AS c FROM h) WHERE c > 1), p AS (SELECT DISTINCT doc_id, n, i + k AS at FROM r, range(8) z(k))
+SELECT doc_id FROM p GROUP BY doc_id, n HAVING count(*) >= 0.3 * n"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """SQL over whole tables where it can say the same."""
+    return {"p6_found": _P6, "p7_found": _P7, "p10_found": _P10}
