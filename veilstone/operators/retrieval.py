@@ -5,6 +5,7 @@ A ranking has the columns id, score and rank (1 is best; ties go to the smaller
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -17,10 +18,6 @@ K1, B, DIGITS, RANK_CONSTANT = 1.2, 0.75, 6, 60
 KEYWORD_BOOST = 2.0
 
 
-def _equals(word: str):
-    return lambda t: t == word
-
-
 def query_terms(text: str) -> list[str]:
     """The different tokens of a query, as the tokenizer of documents gives them."""
     import regex
@@ -44,22 +41,20 @@ def bm25(docs: DataFrame, boosts: dict[str, float], key: str, text: str) -> Data
     terms = sorted(boosts)
     if not terms:
         return docs.select(F.col(key).alias("id"), F.lit(0.0).alias("score")).filter("false")
-    counted = docs.select(F.col(key).alias("id"), tokens(F.col(text)).alias("toks")).select(
-        "id", F.size("toks").alias("dl"), *(F.size(F.filter("toks", _equals(w))).alias(f"tf{i}") for i, w in enumerate(terms))
-    )
-    stats = counted.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"), *(F.sum((F.col(f"tf{i}") > 0).cast("long")).alias(f"df{i}") for i in range(len(terms)))).first()
+    # one array of frequencies, not a column per term: constraint inference grows fast with the number of columns
+    counts = F.transform(F.array(*(F.lit(w) for w in terms)), lambda w: F.size(F.filter(F.col("toks"), lambda t: t == w)))
+    # exploding a list of one keeps the optimizer from repeating tokens and counts in every expression that uses them
+    rows = docs.select(F.col(key).alias("id"), F.explode(F.array(tokens(F.col(text)))).alias("toks"))
+    counted = rows.select("id", F.size("toks").alias("dl"), F.explode(F.array(counts)).alias("tfs"))
+    stats = counted.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"), *(F.sum((F.get("tfs", i) > 0).cast("long")).alias(f"df{i}") for i in range(len(terms)))).first()
     if not stats["n"] or not stats["avgdl"]:
         return counted.select("id", F.lit(0.0).alias("score")).filter("false")
+    n = stats["n"]
+    weights = F.array(*(F.lit(float(boosts[w]) * math.log(1.0 + (n - stats[f"df{i}"] + 0.5) / (stats[f"df{i}"] + 0.5))) for i, w in enumerate(terms)))
     norm = K1 * (1 - B + B * F.col("dl") / F.lit(float(stats["avgdl"])))
-    parts = []
-    for i, w in enumerate(terms):
-        df = stats[f"df{i}"]
-        tf = F.col(f"tf{i}").cast("double")
-        idf = F.log(F.lit(1.0) + (F.lit(stats["n"] - df + 0.5) / F.lit(df + 0.5)))
-        parts.append(F.lit(float(boosts[w])) * idf * tf * (K1 + 1) / (tf + norm))
-    total = sum(parts[1:], parts[0])
-    hit = F.greatest(*(F.col(f"tf{i}") for i in range(len(terms)))) > 0 if len(terms) > 1 else F.col("tf0") > 0
-    return counted.filter(hit).select("id", F.round(total, DIGITS).alias("score"))
+    parts = F.zip_with("tfs", weights, lambda tf, w: w * tf.cast("double") * (K1 + 1) / (tf.cast("double") + norm))
+    score = F.aggregate(parts, F.lit(0.0), lambda total, x: total + x)
+    return counted.filter(F.exists("tfs", lambda tf: tf > 0)).select("id", F.round(score, DIGITS).alias("score"))
 
 
 def boosted_terms(keywords: str, profile: str, keyword_boost: float = KEYWORD_BOOST) -> dict[str, float]:
