@@ -23,10 +23,9 @@ def docs(spark: SparkSession, d: str) -> DataFrame:
 def bm25_sql(boosts: dict[str, float], source: str = "documents", key: str = "doc_id", text: str = "text") -> str:
     """SQL that scores every document with a term; (id, score)."""
     terms = ", ".join(f"('{w}', {b:.1f}e0)" for w, b in sorted(boosts.items()))
-    return f"""SELECT id, round(sum(boost * ln(1 + (n - df + 0.5e0) / (df + 0.5e0)) * tf * 2.2e0 / (tf + 1.2e0 * (0.25e0 + 0.75e0 * dl / avgdl))), 6) AS score FROM (
-  SELECT q.term, q.boost, p.id, p.tf, p.dl, count(*) OVER (PARTITION BY q.term) AS df, s.n, s.avgdl FROM (VALUES {terms}) q(term, boost)
-  JOIN (SELECT id, dl, term, count(*) AS tf FROM (SELECT {key} AS id, coalesce(len({TOK.format(text)}), 0) AS dl, unnest({TOK.format(text)}) AS term FROM {source}) GROUP BY ALL) p USING (term)
-  CROSS JOIN (SELECT count(*) AS n, avg(coalesce(len({TOK.format(text)}), 0)) AS avgdl FROM {source}) s) GROUP BY id"""
+    return f"""WITH t AS MATERIALIZED (SELECT {key} AS id, coalesce({TOK.format(text)}, []) AS toks FROM {source}), s AS MATERIALIZED (SELECT count(*) AS n, avg(len(toks)) AS avgdl FROM t),
+p AS MATERIALIZED (SELECT id, len(toks) AS dl, q.term, q.boost, len(list_filter(toks, lambda x: x = q.term)) AS tf FROM t, (VALUES {terms}) q(term, boost)), f AS MATERIALIZED (SELECT term, count(*) AS df FROM p WHERE tf > 0 GROUP BY term)
+SELECT id, round(sum(boost * ln(1 + (n - df + 0.5e0) / (df + 0.5e0)) * tf * 2.2e0 / (tf + 1.2e0 * (0.25e0 + 0.75e0 * dl / avgdl))), 6) AS score FROM p JOIN f USING (term), s WHERE tf > 0 GROUP BY id"""
 
 
 def top_sql(inner: str, size: int) -> str:
