@@ -104,6 +104,15 @@ def test_variants_link_through_persons(spark):
     assert variants.link_variants(df.filter("false")).count() == 0
 
 
+def test_spellings_without_address_are_linked(spark):
+    rows = [("deborah.rindomham@x.example", "Deborah Rindomham", "Debbie Rindomham; Rindomam, Deborah; D. Rindomham; Dora Rindomham; Anna Hall", ["a@x.example"]), ("thomas.hill@x.example", "Thomas Hill", "Theo Hill; Anna Hill", None),
+            (None, None, "Larry Kouzrano; Kouzrano, Larry; L. Kouzrano; Lena Kouzrano", None)]
+    df = spark.createDataFrame(rows, "mail_from string, x_from string, x_to string, mail_to array<string>")
+    got = {(r.name_a, r.name_b) for r in variants.link_variants(df).collect()}
+    groups = [{"Deborah Rindomham", "Debbie Rindomham", "Rindomam, Deborah", "D. Rindomham"}, {"D. Rindomham", "Dora Rindomham"}, {"Larry Kouzrano", "Kouzrano, Larry", "L. Kouzrano"}, {"L. Kouzrano", "Lena Kouzrano"}]
+    assert got == {(a, b) for g in groups for a in g for b in g if a < b}
+
+
 def test_common_subsequence():
     def slow(a, b):
         t = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]

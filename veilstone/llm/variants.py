@@ -7,8 +7,10 @@ surname, first name and hence the person. Spellings that meet in a refined block
 compared by the ratio of their longest common subsequence; a spelling of a person that
 agrees with no other is left out.
 
-A spelling is only ever linked through persons: "T. Hill" may stand for two people and is
-then linked to the spellings of both, which stay apart.
+A spelling is linked through persons: "T. Hill" may stand for two people and is then linked
+to the spellings of both, which stay apart. A spelling that stood beside no address of its
+own joins every person with a spelling that says the same word by word; one that fits nobody
+is linked to the other spellings without address that do.
 """
 
 from __future__ import annotations
@@ -27,6 +29,10 @@ from ..session import written
 from .fresh import fold
 
 MIN_SUFFIX, RATIO = 4, 0.7
+#: Share of the longer word that two words have to have in common, more than which shows one with a slip.
+ALIKE = 0.8
+#: Words that say nothing about who is named (fixed values).
+_EMPTY_WORDS = {"the", "inc", "co", "corp", "llc", "ltd", "lp", "llp", "company", "corporation", "group", "grp", "jr", "sr", "ii", "iii", "esq"}
 _ROLES = ("info", "billing", "notices", "office", "contact", "sales", "admin", "support", "mail", "service")
 
 
@@ -78,6 +84,102 @@ def best_order(words: list[str], surname: str) -> tuple[str, str]:
     return last, max(rest, key=len, default="")
 
 
+def alike(a: str, b: str) -> bool:
+    """Whether two words are one, a slip in a longer one allowed for."""
+    return a == b or common(a, b) > ALIKE * max(len(a), len(b))
+
+
+def stands_for(a: str, b: str) -> bool:
+    """Whether two words can be one name: alike, an initial, a beginning or a pet form in -ie or -y."""
+    short, long = sorted((a, b), key=len)
+    if len(short) < 3:
+        return short[:1] == long[:1]
+    if alike(a, b) or long.startswith(short):
+        return True
+    stems = ((re.sub(r"(.)\1?(?:ie|y)$", r"\1", x), y) for x, y in ((a, b), (b, a)) if x.endswith(("ie", "y")))
+    return any(len(stem) > 2 and y.startswith(stem) for stem, y in stems)
+
+
+def naming(spelling: str) -> list[str]:
+    """Words that name somebody; all words if there is no such word."""
+    words = words_of(spelling)
+    return [w for w in words if w not in _EMPTY_WORDS] or words
+
+
+def surname_of(spelling: str) -> str:
+    """The surname by the order of the words: before a comma, else the last."""
+    left, _, right = re.sub(r"\([^)]*\)", " ", spelling).partition(",")
+    named = [w for w in words_of(right) if w not in _EMPTY_WORDS]
+    return (naming(left if named else spelling) or [""])[-1]
+
+
+def same_name(a: list[str], b: list[str], surname: str) -> bool:
+    """Whether two lists of words name the same, with a surname in the first: the words are
+    equal, or each of the shorter list has its own counterpart in the longer one."""
+    if sorted(a) == sorted(b):
+        return bool(a)
+    short, free = (a, list(b)) if len(a) <= len(b) else (b, list(a))
+    left = []
+    for w in short:
+        free.remove(w) if w in free else left.append(w)
+    for w in sorted(left, key=len, reverse=True):
+        other = next((o for o in free if stands_for(w, o)), None)
+        if other is None:
+            return False
+        free.remove(other)
+    return len(short) > 1 and all(any(len(w) > 1 and alike(w, surname) for w in words) for words in (a, b))
+
+
+def refined(spellings: DataFrame, min_suffix: int) -> DataFrame:
+    """The columns and `block`: ends and beginnings of the words, each refined by the initial of another word."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            blocks = []
+            for s in f["spelling"]:
+                ws = naming(s)
+                others = [{o[0] for o in (*ws[:i], *ws[i + 1 :])} or {""} for i in range(len(ws))]
+                blocks.append(sorted({part + c for w, cs in zip(ws, others) if len(w) > 1 for part in (f"-{w[-min_suffix:]} ", f"{w[:min_suffix]}- ") for c in cs}))
+            yield f.assign(block=blocks).explode("block").dropna(subset=["block"])
+
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in spellings.schema.fields)
+    return spellings.mapInPandas(run, f"{kinds}, block string")
+
+
+def attached(lone: DataFrame, owned: DataFrame, min_suffix: int, least: float) -> DataFrame:
+    """(spelling, person) for the spellings without address: the persons one of whose
+    spellings is met in a refined block and says the same."""
+
+    def compare(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            keep = []
+            for s, t, p in zip(f["spelling"], f["other"], f["person"]):
+                a, b = naming(s), naming(t)
+                known = p[1:].strip() if p.startswith("&") else p.strip()
+                last = max(b, key=lambda w: (common(w, known.split(" ")[0]) / max(len(w), len(known.split(" ")[0])), len(w)), default="")
+                keep.append(ratio(" ".join(sorted(a)), " ".join(sorted(b))) >= least and same_name(b, a, last))
+            yield f.loc[keep, ["spelling", "person"]]
+
+    met = refined(lone, min_suffix).join(refined(owned, min_suffix).withColumnRenamed("spelling", "other"), "block").select("spelling", "other", "person").distinct()
+    return met.mapInPandas(compare, "spelling string, person string")
+
+
+def unowned_pairs(lone: DataFrame, rest: DataFrame, min_suffix: int, least: float) -> DataFrame:
+    """(name_a, name_b): spellings without address that say the same, at least one of them fitting no person."""
+
+    def compare(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            keep = []
+            for s, t in zip(f["spelling"], f["other"]):
+                a, b = naming(s), naming(t)
+                keep.append(ratio(" ".join(sorted(a)), " ".join(sorted(b))) >= least and any(same_name(a, b, last) for last in (surname_of(s), surname_of(t))))
+            pairs = [(s, t) if s < t else (t, s) for s, t, k in zip(f["spelling"], f["other"], keep) if k]
+            yield pd.DataFrame(pairs, columns=["name_a", "name_b"])
+
+    met = refined(rest, min_suffix).join(refined(lone, min_suffix).withColumnRenamed("spelling", "other"), "block").filter("spelling <> other").select("spelling", "other").distinct()
+    return met.mapInPandas(compare, "name_a string, name_b string").distinct()
+
+
 def observations(df: DataFrame, sender: str, typed_sender: str, typed_to: str, to: str) -> DataFrame:
     """(spelling, unit, n): how often a spelling was seen beside an address. The address is the
     entry's own, else the sender header's for the typed sender, else the one at the same place
@@ -151,17 +253,20 @@ def link_variants(df: DataFrame, sender: str = "mail_from", typed_sender: str =
     or firm.
 
     Null, blank and undisclosed headers have no entries; entries that are only an address
-    have no spelling; a spelling that never stood for a known address is linked only to
-    spellings that equal it in all but case, order and punctuation. Repeated rows change
-    nothing; other columns are ignored; no rows give no rows.
+    have no spelling; a spelling that never stood for a known address is linked to the
+    spellings that agree with it word by word (slips, initials, beginnings and pet forms
+    allowed for) and to those of their persons. Repeated rows change nothing; other columns
+    are ignored; no rows give no rows.
     """
     seen = written(observations(df, sender, typed_sender, typed_to, to), "seen")
-    owned = persons(seen)
-    # a spelling without any address joins the person whose spelling has the same words
+    owned = written(persons(seen), "owned")
+    # a spelling without any address joins the persons whose spellings have the same words or say the same
     same = F.array_join(F.array_sort(F.split(F.trim(F.regexp_replace(F.lower("spelling"), r"[^\p{L}\p{N}]+", " ")), " ")), " ")
     keyed = owned.withColumn("words", same)
-    lone = seen.select("spelling").distinct().join(owned.select("spelling").distinct(), "spelling", "left_anti").withColumn("words", same)
-    nodes = written(owned.unionByName(lone.join(keyed.select("words", "person").distinct(), "words").select("spelling", "person")).distinct(), "nodes")
+    lone = written(seen.select("spelling").distinct().join(owned.select("spelling").distinct(), "spelling", "left_anti"), "lone")
+    equal = lone.withColumn("words", same).join(keyed.select("words", "person").distinct(), "words").select("spelling", "person")
+    nodes = written(owned.unionByName(equal).unionByName(attached(lone, owned, min_suffix, least)).distinct(), "nodes")
+    apart = unowned_pairs(lone, lone.join(nodes.select("spelling").distinct(), "spelling", "left_anti"), min_suffix, least)
 
     def index(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
@@ -186,7 +291,8 @@ def link_variants(df: DataFrame, sender: str = "mail_from", typed_sender: str =
     members = written(agreed.unionByName(_unmet(nodes, agreed, least)).distinct(), "members")
     a = members.select("person", F.col("spelling").alias("name_a"))
     b = members.select("person", F.col("spelling").alias("name_b"))
-    return a.join(b, "person").filter(F.encode("name_a", "UTF-8") < F.encode("name_b", "UTF-8")).select("name_a", "name_b").distinct()
+    linked = a.join(b, "person").filter(F.encode("name_a", "UTF-8") < F.encode("name_b", "UTF-8")).select("name_a", "name_b")
+    return linked.unionByName(apart).distinct()
 
 
 def _unmet(nodes: DataFrame, agreed: DataFrame, least: float) -> DataFrame:
