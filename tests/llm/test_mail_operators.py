@@ -1,5 +1,6 @@
 import numpy as np
 from pyspark.sql import Row
+from pyspark.sql import functions as F
 
 from veilstone.llm import fresh, personal, variants
 
@@ -113,6 +114,18 @@ def test_spellings_without_address_are_linked(spark):
     assert got == {(a, b) for g in groups for a in g for b in g if a < b}
 
 
+def test_every_spelling_is_compared_with_all_of_its_person(spark):
+    # short names share no suffix of four letters; the slip agrees with neither the first nor the last spelling
+    names = {"kim.ng@x.example": ["Kim Ng", "Ng, Kim", "K. Ng"], "bo.zu@x.example": ["Bo Zu", "Zu, Bo"]}
+    df = spark.createDataFrame([(a, n, None, None) for a, ns in names.items() for n in ns], "mail_from string, x_from string, x_to string, mail_to array<string>")
+    got = {(r.name_a, r.name_b) for r in variants.link_variants(df).collect()}
+    assert got == {(a, b) for ns in names.values() for a in ns for b in ns if a < b}
+    spellings = ["Abcdefgh Mnopqrst", "Zyxwvuts Kjihgfed", "Mid Qazwsxed", "Mid Qazwsxrf"]
+    nodes = spark.createDataFrame([(s, "p") for s in spellings], "spelling string, person string")
+    agreed = nodes.filter(F.col("spelling") != "Mid Qazwsxrf")
+    assert {r.spelling for r in variants._unmet(nodes, agreed, 0.7).collect()} == {"Mid Qazwsxrf"}
+
+
 def test_common_subsequence():
     def slow(a, b):
         t = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]

@@ -4,8 +4,9 @@ Suffix blocking. Every spelling is indexed by the suffixes of its words. A suffi
 little ("well" ends hundreds of surnames), so before any is given up it is refined with the
 other fields of the entries a spelling was seen in: the address it stood beside tells
 surname, first name and hence the person. Spellings that meet in a refined block are
-compared by the ratio of their longest common subsequence; a spelling of a person that
-agrees with no other is left out.
+compared by the ratio of their longest common subsequence, neighbours first; what agrees
+with no neighbour is compared with all spellings of its person, and a spelling that agrees
+with none of them is left out.
 
 A spelling is linked through persons: "T. Hill" may stand for two people and is then linked
 to the spellings of both, which stay apart. A spelling that stood beside no address of its
@@ -29,6 +30,8 @@ from ..session import written
 from .fresh import fold
 
 MIN_SUFFIX, RATIO = 4, 0.7
+#: Parts by hash into which a person's spellings are cut when the rest is compared with all of them.
+PARTS = 8
 #: Share of the longer word that two words have to have in common, more than which shows one with a slip.
 ALIKE = 0.8
 #: Words that say nothing about who is named (fixed values).
@@ -270,11 +273,11 @@ def link_variants(df: DataFrame, sender: str = "mail_from", typed_sender: str =
 
     def index(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            rows = [(s, p, " ".join(sorted(ws)), w[i:]) for s, p in zip(f["spelling"], f["person"]) for ws in (words_of(s),) for w in ws if len(w) >= min_suffix for i in range(len(w) - min_suffix + 1)]
+            rows = [(s, p, " ".join(sorted(ws)), w[i:]) for s, p in zip(f["spelling"], f["person"]) for ws in (words_of(s),) for w in ws for i in range(max(len(w) - min_suffix, 0) + 1)]
             yield pd.DataFrame(rows, columns=["spelling", "person", "folded", "suffix"]).drop_duplicates()
 
     blocks = nodes.mapInPandas(index, "spelling string, person string, folded string, suffix string")
-    # refined blocks; each spelling is compared with its neighbours in the block's order, enough to show that it belongs
+    # refined blocks; each spelling is compared with its neighbours in the block's order, which shows of most that they belong
     near = Window.partitionBy("person", "suffix").orderBy("folded", "spelling")
     met = blocks.select("spelling", "person", "folded", *(F.lag(c, k).over(near).alias(f"{c}{k}") for c in ("spelling", "folded") for k in (1, 2)))
 
@@ -296,14 +299,15 @@ def link_variants(df: DataFrame, sender: str = "mail_from", typed_sender: str =
 
 
 def _unmet(nodes: DataFrame, agreed: DataFrame, least: float) -> DataFrame:
-    """Spellings that share no suffix with another of their person (a slip in the last letter)
-    but agree with one of those that do."""
-    left = nodes.join(agreed, ["spelling", "person"], "left_anti")
-    pairs = left.join(agreed.groupBy("person").agg(F.min("spelling").alias("other"), F.max("spelling").alias("other2")), "person")
+    """Spellings that agree with none of their neighbours but with any other spelling of their
+    person, each compared with all of them."""
+    left = nodes.join(agreed, ["spelling", "person"], "left_anti").withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
+    others = nodes.select("person", F.col("spelling").alias("other"), F.pmod(F.xxhash64("spelling"), F.lit(PARTS)).cast("int").alias("part"))
+    pairs = left.join(others, ["person", "part"]).filter("spelling <> other").select("spelling", "person", "other")
 
     def compare(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            keep = [max(ratio(" ".join(sorted(words_of(s))), " ".join(sorted(words_of(o)))) for o in (x, y)) >= least for s, x, y in zip(f["spelling"], f["other"], f["other2"])]
+            keep = [ratio(" ".join(sorted(words_of(s))), " ".join(sorted(words_of(o)))) >= least for s, o in zip(f["spelling"], f["other"])]
             yield f.loc[keep, ["spelling", "person"]]
 
     return pairs.mapInPandas(compare, "spelling string, person string")
