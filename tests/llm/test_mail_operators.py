@@ -45,6 +45,19 @@ def test_newly_written_defined_cases(spark):
     assert fresh.newly_written(df.filter("false"), "mail_id").count() == 0
 
 
+def test_ancestor_is_chosen_by_exact_counts(spark):
+    hot, own = [f"hot{i:02}" for i in range(40)], [f"own{i:02}" for i in range(20)]
+    lines = lambda ws: " ".join("> " + " ".join(ws[i : i + 10]) for i in range(0, len(ws), 10))
+    answer = " > " + "an answer that is longer than one quoted line can be and so may end in new text"
+    texts = {0: "Fine. Bob Lee writes: " + lines(hot) + answer, 200: "Fine. Bob Lee writes: " + lines(hot + own) + answer}
+    texts |= {i: " ".join(hot + [f"w{i}x{j}" for j in range(9)]) for i in range(1, 100)}
+    texts[90] = " ".join(hot + own)
+    df = spark.createDataFrame(list(texts.items()), "k int, t string")
+    got = {r.k: r.ancestor for r in fresh.ancestors(df, fresh.fingerprint_index(df, "k", "t"), "k", "t").collect()}
+    # the asker 0 is the smallest holder of every hot run; for 200, a message that holds all runs outvotes the smallest holder
+    assert got == {0: texts[1], 200: texts[90]}
+
+
 # -- personal values
 
 PATTERNS = personal.Patterns(given=frozenset({"anna", "bob", "lars"}), surnames=frozenset({"hill", "gaskano"}), cities=frozenset({"millbeck"}))
