@@ -124,3 +124,25 @@ def test_repeated_share_and_scores(spark):
     assert len(expected & found) >= 0.98 * len(expected) and found <= expected
     assert repetition.score_repetition(df.filter("doc_id = 240")).first().is_repetitive is False
     assert repetition.score_repetition(df.filter("false")).count() == 0
+
+
+def test_every_document_gets_its_exact_share(spark):
+    rnd = np.random.default_rng(3)
+    texts = []
+    for i in range(200):
+        w = [f"w{k}" for k in rnd.integers(0, 5000, rnd.integers(60, 200))]
+        for _ in range(i % 5):
+            # isolated runs of eight words, repeated far apart
+            at, to = rnd.integers(0, len(w) - 8, 2)
+            w[to:to] = w[at : at + 8] + [f"x{rnd.integers(0, 5000)}"]
+        texts.append(" ".join(w))
+    texts += ["", "a " * 500]
+    rows = [Row(doc_id=i, text=t) for i, t in enumerate(texts)] + [Row(doc_id=999, text=None)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    expected = {i: slow_share(t) for i, t in enumerate(texts)} | {999: 0.0}
+    scored = repetition.score_repetition(df).collect()
+    assert {r.doc_id: r.repeated_share for r in scored} == pytest.approx(expected)
+    assert all(r.is_repetitive == (expected[r.doc_id] >= 0.3) for r in scored)
+    for run in (3, 8, 11):
+        got = repetition.features_and_repeats(texts, run)[1].tolist()
+        assert got == [repetition.repeated_share(t, run) > 0 for t in texts]

@@ -93,8 +93,13 @@ def p10_found(spark: SparkSession, d: str) -> DataFrame:
     return repetition.score_repetition(table(spark, d, "documents", "doc_id", "text")).filter("is_repetitive").select("doc_id").distinct()
 
 
+def p10_shares(spark: SparkSession, d: str) -> DataFrame:
+    """The share of repeated words of every document."""
+    return repetition.score_repetition(table(spark, d, "documents", "doc_id", "text")).select("doc_id", "repeated_share").distinct()
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_pieces, p3_found, p4_found, p5_found, p5_redacted, p6_found, p7_found, p8_ids, p9_containers, p10_found)}
+    return {f.__name__: f for f in (p1_found, p1_pieces, p3_found, p4_found, p5_found, p5_redacted, p6_found, p7_found, p8_ids, p9_containers, p10_found, p10_shares)}
 
 
 _P6 = r"""WITH d AS (SELECT mail_id, regexp_extract_all(lower(any_value(message)), '[a-z0-9]+') AS w FROM mail WHERE message IS NOT NULL GROUP BY 1),

@@ -1,10 +1,10 @@
 """Repetition inside one document.
 
 A logistic regression over hashed word and character n-grams scores every document in
-Arrow batches; its probabilities are calibrated on held-out rows and held against fixed
-thresholds. Its training rows are a bounded sample of the table itself, labelled with the
-exact share of repeated words. Documents above the lower threshold get that exact share
-too, so the reported shares are never estimates.
+Arrow batches; its probabilities are calibrated on held-out rows. Its training rows are a bounded sample of the table itself, labelled with the
+exact share of repeated words. The same pass tells by the hashes which documents repeat no
+run at all: equal runs have equal hashes, so their share is 0. All others are checked word
+by word, so every share is exact and none depends on the classifier.
 """
 
 from __future__ import annotations
@@ -27,8 +27,6 @@ from .tokens import chunks
 RUN, SHARE = 8, 0.3
 #: Labelled rows the classifier is fitted on, at most.
 SAMPLE_ROWS = 2000
-#: Calibrated probability from which a document is checked exactly, and from which it is called repetitive without a check.
-CHECK_AT, SURE_AT = 0.002, 0.9
 WORD_NGRAMS = (1, 2, 4, RUN)
 WORD_BUCKETS = CHAR_BUCKETS = 128
 CHAR_NGRAM = 5
@@ -64,6 +62,12 @@ def repeated_share(text: str | None, run: int = RUN) -> float:
 def features(texts: list[str | None]) -> np.ndarray:
     """One row per text: shares of word 1- and character 5-grams by hash bucket, and for each
     length of word n-grams the share that falls into a bucket hit more than once by this text."""
+    return features_and_repeats(texts)[0]
+
+
+def features_and_repeats(texts: list[str | None], run: int = RUN) -> tuple[np.ndarray, np.ndarray]:
+    """(features, whether two runs of `run` words of the text have one 64-bit hash): a text
+    without such runs repeats none; one with them may, but for the chance of a collision, and is to be checked."""
     import xxhash
 
     n = len(texts)
@@ -92,7 +96,8 @@ def features(texts: list[str | None]) -> np.ndarray:
 
     base = WORD_BUCKETS + CHAR_BUCKETS
     salt = owner.astype(np.uint64) * _MIX
-    for i, size in enumerate(WORD_NGRAMS):
+    repeats = np.zeros(n, bool)
+    for size in sorted({*WORD_NGRAMS, run}):
         m = len(hashed) - size + 1
         if m < 1:
             continue
@@ -100,12 +105,20 @@ def features(texts: list[str | None]) -> np.ndarray:
         for k in range(size):
             gram = gram * np.uint64(0x100000001B3) + hashed[k : k + m]
         inside = owner[:m] == owner[size - 1 :]
-        bucket = (((gram ^ salt[:m]) * _MIX) >> np.uint64(64 - _TABLE_BITS)).astype(np.int64)[inside]
+        mixed = ((gram ^ salt[:m]) * _MIX)[inside]
+        bucket = (mixed >> np.uint64(64 - _TABLE_BITS)).astype(np.int64)
         again = np.bincount(bucket, minlength=1 << _TABLE_BITS)[bucket] > 1
-        out[:, base + i] = np.bincount(owner[:m][inside], weights=again, minlength=n) / np.maximum(sizes - size + 1, 1)
+        if size == run:
+            # equal hashes share a bucket, so only the runs of shared buckets are sorted
+            shared, of = mixed[again], owner[:m][inside][again]
+            order = np.lexsort((shared, of))
+            shared, of = shared[order], of[order]
+            repeats[of[1:][(shared[1:] == shared[:-1]) & (of[1:] == of[:-1])]] = True
+        if size in WORD_NGRAMS:
+            out[:, base + WORD_NGRAMS.index(size)] = np.bincount(owner[:m][inside], weights=again, minlength=n) / np.maximum(sizes - size + 1, 1)
     out[:, -2] = np.log1p(sizes) / 10
     out[:, -1] = sizes < RUN + 1
-    return out
+    return out, repeats
 
 
 @dataclass
@@ -173,13 +186,12 @@ def train(df: DataFrame, key: str = "doc_id", text: str = "text", run: int = RUN
 
 
 def score_repetition(df: DataFrame, key: str = "doc_id", text: str = "text", run: int = RUN, share: float = SHARE,
-                     check_at: float = CHECK_AT, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
+                     sample_rows: int = SAMPLE_ROWS) -> DataFrame:
     """(key, probability, repeated_share, is_repetitive) for every row.
 
-    probability is the classifier's, repeated_share the exact share where probability is at
-    least check_at and null below; is_repetitive compares that share with `share`. If the
-    sample holds one class only, nothing can be fitted: probability is null and every row is
-    checked exactly. Null, empty and short texts have share 0 or null and are not repetitive.
+    probability is the classifier's, repeated_share the exact share; is_repetitive compares
+    that share with `share`. If the sample holds one class only, nothing can be fitted and
+    probability is null. Null, empty and short texts have share 0 and are not repetitive.
     Repeated rows give repeated rows; other columns are ignored.
     """
     model = train(df, key, text, run, share, sample_rows)
@@ -188,14 +200,11 @@ def score_repetition(df: DataFrame, key: str = "doc_id", text: str = "text", run
         for batch in batches:
             done = 0
             for part in chunks(batch.column(1).to_pylist()):
-                if model is None:
-                    p = [None] * len(part)
-                    exact = [repeated_share(t, run) for t in part]
-                else:
-                    p = model.probability(features(part))
-                    exact = [repeated_share(t, run) if x >= check_at else None for t, x in zip(part, p)]
+                x, repeats = features_and_repeats(part, run)
+                p = [None] * len(part) if model is None else model.probability(x)
+                exact = [repeated_share(t, run) if r else 0.0 for t, r in zip(part, repeats)]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(done, len(part)), pa.array(p, pa.float64()), pa.array(exact, pa.float64()), pa.array([e is not None and e >= share for e in exact])],
+                    [batch.column(0).slice(done, len(part)), pa.array(p, pa.float64()), pa.array(exact, pa.float64()), pa.array([e >= share for e in exact])],
                     names=[key, "probability", "repeated_share", "is_repetitive"],
                 )
                 done += len(part)
