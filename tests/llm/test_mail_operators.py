@@ -95,6 +95,18 @@ def test_bootstrapping_finds_unseen_people(spark):
     assert many2 is not None and {r.val for r in personal.find_values(texts, "k", "message", wide, many2).collect()} == got
 
 
+def test_limit_of_the_lexicon_changes_nothing(spark):
+    seeds = spark.createDataFrame([("anna", "hill", 9), ("bob", "lee", 9), ("cara", "moss", 9)], "given string, surname string, n bigint")
+    lines = ["Take Anna Hill's car.", "Ask Bob Lee- now.", "Cara Moss' desk", "Anna Hill-Side", "Anna Lee’ and Bob O'Moss"] + [f"12 Oak Street, {c}, OH 43827" for c in ("Millbeck", "Oxbar", "Lanter") for _ in range(2)] + [f"Zeta ref {i}1 SSN 990-79-158{i}, Zeta ref 990-79-158{i}" for i in range(4)]
+    texts = spark.createDataFrame([Row(k=i, message=t) for i, t in enumerate(lines)], "k int, message string")
+    few, none = personal.learn(texts, "message", seeds)
+    cut, many = personal.learn(texts, "message", seeds, limit=1)
+    assert none is None and many is not None
+    assert len(few.cities) == 3 and (cut.given, cut.cities, cut.labels) == (few.given, few.cities, few.labels)
+    values = lambda *a: sorted((r.k, r.start, r.val) for r in personal.find_values(texts, "k", "message", *a).collect())
+    assert values(few) == values(cut, many) and {"Anna Hill", "Bob Lee", "Cara Moss"} <= {v for _, _, v in values(cut, many)}
+
+
 def test_redaction_keeps_the_rest(spark):
     df = spark.createDataFrame([Row(k=1, message="Anna Hill, a@b.example: hi"), Row(k=2, message=None), Row(k=3, message="")], "k int, message string")
     got = {r.k: r.redacted for r in personal.redact(df, "k", "message", PATTERNS).collect()}

@@ -18,7 +18,7 @@ from dataclasses import dataclass
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.packed import address_of, clean_name
@@ -27,7 +27,7 @@ from ..session import written
 KINDS = ("email", "phone", "id_number", "street_address", "name")
 #: Rounds of scoring; accepted share of a pattern's instances and of an instance's occurrences; least support.
 ROUNDS, PATTERN_SHARE, INSTANCE_SHARE, SUPPORT = 2, 0.6, 0.5, 2
-#: Accepted words that are broadcast at most (about 30 bytes each); beyond it they are joined to the texts by shuffle.
+#: Accepted surnames that are broadcast at most (about 30 bytes each); beyond it they are joined to the texts by shuffle.
 LEXICON_LIMIT = 300_000
 #: Words that announce identity numbers, and words that announce other numbers (fixed values).
 ID_LABELS = frozenset({"ssn", "ss#", "security number", "passport", "passport no", "passport number", "badge", "badge no", "employee id", "employee no", "employee number", "staff no", "staff id", "licence", "license", "licence no", "license no", "dl no", "dl", "tax id", "tax number", "tax no", "itin", "tin"})
@@ -392,7 +392,7 @@ def id_labels(graph: DataFrame) -> list[tuple[str, str]]:
     other = F.col("pattern").isin(*OTHER_LABELS) | F.col("last").isin(*OTHER_LABELS)
     shapes = ids.groupBy("instance").agg(F.sum(F.when(seed, F.col("n")).otherwise(0)).alias("hits"), F.sum(F.when(other, 0).otherwise(F.col("n"))).alias("all"))
     strong = shapes.filter((F.col("hits") >= SUPPORT) & (F.col("hits") >= 0.5 * F.col("all"))).select("instance")
-    rows = ids.filter(~seed & ~other).join(strong, "instance", "left_semi").groupBy("last", "instance").agg(F.sum("n").alias("n")).filter(F.col("n") >= SUPPORT).limit(LEXICON_LIMIT).collect()
+    rows = ids.filter(~seed & ~other).join(strong, "instance", "left_semi").groupBy("last", "instance").agg(F.sum("n").alias("n")).filter(F.col("n") >= SUPPORT).collect()
     return [(r["last"], r.instance) for r in rows]
 
 
@@ -401,9 +401,9 @@ def learn(texts: DataFrame, text: str, seeds: DataFrame, limit: int = LEXICON_LI
     graph = written(evidence(texts, text), "graph")
     given, surnames = bootstrap(graph, seeds)
     few = surnames.limit(limit + 1).count() <= limit
-    # given names are patterns with many surnames: their number is bounded by the distinct first names of the world
-    names = frozenset(r.word for r in given.limit(limit).collect())
-    cities = frozenset(r.instance for r in graph.filter("graph = 'city' and n >= 2").limit(limit).collect())
+    # given names are patterns with many surnames: their number is bounded by the distinct first names of the world; all are kept, as are all cities
+    names = frozenset(r.word for r in given.collect())
+    cities = frozenset(r.instance for r in graph.filter("graph = 'city' and n >= 2").select("instance").distinct().collect())
     patterns = Patterns(names, frozenset(r.word for r in surnames.collect()) if few else frozenset(), frozenset(id_labels(graph)), cities)
     return patterns, None if few else surnames
 
@@ -412,7 +412,14 @@ def _with_surnames(texts: DataFrame, key: str, text: str, surnames: DataFrame |
     """Adds `known`, the accepted surnames in a text, found by join where they are too many to broadcast."""
     if surnames is None:
         return texts.withColumn("known", F.lit(None).cast("array<string>"))
-    words = texts.select(key, F.explode(F.array_distinct(F.regexp_extract_all(F.lower(F.col(text)), F.lit(r"([\p{L}][\p{L}\p{N}'’-]+)"), 1))).alias("word"))
+    tokens = F.regexp_extract_all(F.lower(F.col(text)), F.lit(r"([\p{L}][\p{L}\p{N}'’-]+)"), 1)
+
+    def beginnings(token: Column) -> Column:
+        # up to every mark, as a surname may stand before a possessive or a trailing mark; the finder decides which do
+        parts = F.split(token, "(?<=['’-])")
+        return F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.regexp_replace(F.array_join(F.slice(parts, F.lit(1), n), ""), "['’-]+$", ""))
+
+    words = texts.select(key, F.explode(F.array_distinct(F.concat(tokens, F.flatten(F.transform(tokens, beginnings))))).alias("word"))
     known = words.join(surnames, "word").groupBy(key).agg(F.collect_set("word").alias("known"))
     return texts.join(known, key, "left")
 
