@@ -117,3 +117,11 @@ def test_naming_fields(spark):
     df = spark.createDataFrame([], "message string, user_name string, to array<string>, meta struct<owner:string,size:int>, tone string, note string")
     assert direct.naming_fields(df.schema, "message") == [("meta.owner", "string", True), ("to", "array", True), ("user_name", "string", True)]
     assert direct.normalize_identifiers(email=[" a@b.c ", ""], id=["7"], phone=None) == [("email", "a@b.c"), ("employee_id", "7")]
+
+
+def test_scan_of_documents_reports_every_kind(spark, tmp_path):
+    from veilstone.plans import people
+
+    spark.createDataFrame([(1, "From 2001:db8::8a2e:370:7334 and 10.0.0.1 by a@b.example"), (2, None)], "doc_id bigint, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {(r.doc_id, r.kind, r.value) for r in people.pii_scan_long(spark, str(tmp_path)).collect()}
+    assert got == {(1, "email", "a@b.example"), (1, "ipv4", "10.0.0.1"), (1, "ipv6", "2001:db8::8a2e:370:7334")}

@@ -31,7 +31,7 @@ _IPV4 = r"list_distinct(list_transform(regexp_extract_all(t, '(\b(?:(?:25[0-5]|2
 
 @R.add(f"WITH d AS (SELECT doc_id, text AS t FROM documents WHERE text IS NOT NULL) SELECT doc_id, 'email' AS kind, unnest({_EMAILS}) AS value FROM d UNION ALL SELECT doc_id, 'ipv4', unnest({_IPV4}) FROM d UNION ALL SELECT doc_id, 'phone', unnest({_PHONES}) FROM d")
 def pii_scan_long(spark, d):
-    return table(spark, d, "documents", "doc_id", "text").select("doc_id", F.explode(pd_.scan(F.col("text"), ipv6=False)).alias("p")).select("doc_id", "p.kind", "p.value")
+    return table(spark, d, "documents", "doc_id", "text").select("doc_id", F.explode(pd_.scan(F.col("text"))).alias("p")).select("doc_id", "p.kind", "p.value")
 
 
 @R.add()
