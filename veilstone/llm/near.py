@@ -1,10 +1,11 @@
-"""Near-duplicate texts by a MinHash LSH forest with exact verification.
+"""Near-duplicate texts by MinHash bands with exact verification.
 
 Every text class (texts with the same words) has one MinHash signature, cut into trees of
-`depth` values. Sorted by these values a tree is a prefix trie, and two classes meet in it
-where they share a prefix. The prefix is shortened from the full depth until a pair at the
-threshold is met in some tree with the target probability; a node of that depth is a row
-group of one equi-join. Met pairs are compared by their full shingle sets.
+`depth` values, and two classes meet in a tree where they share a prefix. This stands in for
+an LSH forest: no tries are sorted and no prefix is shortened by the data. One prefix length
+for all, the longest at which a pair at the threshold is met in some tree with the target
+probability, is set beforehand; a shared prefix is a row group of one equi-join. Met pairs
+are compared by their full shingle sets.
 """
 
 from __future__ import annotations
