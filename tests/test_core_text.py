@@ -125,3 +125,19 @@ def test_scan_of_documents_reports_every_kind(spark, tmp_path):
     spark.createDataFrame([(1, "From 2001:db8::8a2e:370:7334 and 10.0.0.1 by a@b.example"), (2, None)], "doc_id bigint, text string").write.parquet(str(tmp_path / "documents.parquet"))
     got = {(r.doc_id, r.kind, r.value) for r in people.pii_scan_long(spark, str(tmp_path)).collect()}
     assert got == {(1, "email", "a@b.example"), (1, "ipv4", "10.0.0.1"), (1, "ipv6", "2001:db8::8a2e:370:7334")}
+
+
+def test_names_beyond_the_limit_give_the_same_values(spark):
+    from veilstone.operators import packed
+
+    rows = [(1, ["a@x.example"], '"Hill; Anna (HOU)" <a@x.example>'), (2, None, "Bob Lee; Hill; Anna (HOU); Cara Moss"), (3, None, '"Moss, Cara May Ann" <c@x.example>, "Lee, Bob" <b@x.example>'), (4, [None, "x"], "Moss, Cara May Ann, Lee, Bob"), (4, [None, "x"], "Moss, Cara May Ann, Lee, Bob"), (5, None, None)]
+    df = spark.createDataFrame(rows, "k int, to array<string>, x string")
+    few, many = (sorted(map(tuple, packed.unpack(df, "k", ["to"], ["x"], limit=n).collect())) for n in (100, 1))
+    assert few == many and (2, "x", 2, "Hill; Anna (HOU)", "") in many and (4, "x", 1, "Moss, Cara May Ann", "") in many
+
+
+def test_known_name_of_many_parts_is_one_value():
+    from veilstone.operators.packed import Segmenter
+
+    name = "Hill, Lee, Moss, Zorin, Inc"
+    assert Segmenter([name]).split_plain(f"Bob Lee, {name}, Cara Moss") == ["Bob Lee", name, "Cara Moss"]

@@ -8,7 +8,8 @@ First", "Last; First (HOU)") never splits it.
 
 The names of the dictionary come from the table itself: every name standing beside an
 address or a directory path is known. The dictionary is counted before it is broadcast;
-beyond its limit each field is segmented by the grammar and the pairs of its own row alone.
+beyond its limit the parts of each field are joined to the names instead, and each field is
+segmented with the names found in it, which gives the same values.
 """
 
 from __future__ import annotations
@@ -104,6 +105,8 @@ class Segmenter:
             for h in [*hard, len(text)]:
                 if h < at or any(a < h < b for a, b in known):
                     continue
+                if not at and h == len(text):  # every delimiter belongs to a known name
+                    return [text.strip(" ,")]
                 out += self.split_plain(text[at:h])
                 at = h + 1
             return out
@@ -113,12 +116,16 @@ class Segmenter:
         parts = [text[i + 1 : j].strip() for i, j in zip(edges, edges[1:])]
         n = len(parts)
         known = {text[a:b].lower() for a, b in self.names_in(text)}
+        most = max(3, *(name.count(",") + 1 for name in known)) if known else 3
         best: list[tuple[float, int]] = [(0.0, 0)] + [(1e9, 0)] * n
         for j in range(1, n + 1):
-            for i in range(max(0, j - 3), j):
+            for i in range(max(0, j - most), j):
                 if j - i > 1 and not all(parts[i:j]):
                     continue
-                cost = best[i][0] + self.cost(", ".join(parts[i:j]), j - i, known)
+                value = ", ".join(parts[i:j])
+                if j - i > 3 and value.lower() not in known:
+                    continue
+                cost = best[i][0] + self.cost(value, j - i, known)
                 if cost < best[j][0]:
                     best[j] = (cost, i)
         out, j = [], n
@@ -217,9 +224,8 @@ def joined(elements: list[str | None] | None) -> str | None:
     return "".join(out)
 
 
-def known_names(df: DataFrame, columns: list[str], limit: int = DICTIONARY_LIMIT) -> list[str]:
-    """Whole names that stand beside an address or directory path in the given columns, for
-    the dictionary: at most `limit`, or none if there are more (the size is counted first)."""
+def name_table(df: DataFrame, columns: list[str]) -> DataFrame:
+    """(name): the quoted names of the given columns that hold a delimiter or blank, in lower case."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -234,12 +240,48 @@ def known_names(df: DataFrame, columns: list[str], limit: int = DICTIONARY_LIMIT
                                 names.add(name.lower())
             yield pa.RecordBatch.from_arrays([pa.array(sorted(names), pa.string())], names=["name"])
 
-    found = df.select(*columns).mapInArrow(run, "name string").distinct()
-    rows = found.limit(limit + 1).collect()
-    return sorted(r.name for r in rows) if len(rows) <= limit else []
+    return df.select(*columns).mapInArrow(run, "name string").distinct()
+
+
+def parts_of(text: str) -> set[str]:
+    """What can be a name of the dictionary in a lower-cased text: the parts of up to 60
+    characters between ends of words that hold a delimiter or blank."""
+    starts = [i for i, c in enumerate(text) if c not in " \t\n,;|\"" and (not i or not text[i - 1].isalnum())]
+    ends = [i for i in range(1, len(text) + 1) if i == len(text) or not text[i].isalnum()]
+    out, low = set(), 0
+    for a in starts:
+        while low < len(ends) and ends[low] <= a:
+            low += 1
+        for b in ends[low:]:
+            if b - a > 60:
+                break
+            if re.search(r"[,; ]", part := text[a:b]) and part[-1] not in " \t\n,;|":
+                out.add(part)
+    return out
 
 
-def unpack(df: DataFrame, key: str, lists: list[str], headers: list[str], dictionary: list[str] | None = None) -> DataFrame:
+def _with_names(rows: DataFrame, columns: list[str], names: DataFrame) -> DataFrame:
+    """Adds `__known`, the names of the table that stand in the given columns of a row."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            of, parts = [], []
+            for i, values in enumerate(zip(*(c.to_pylist() for c in batch.columns))):
+                texts = [joined(v) if isinstance(v, list) else v for v in values]
+                found = set().union(*(parts_of(t.lower()) for t in texts if t))
+                of += [i] * len(found)
+                parts += sorted(found)
+            at = pa.array(of, pa.int64())
+            yield pa.RecordBatch.from_arrays([*(c.take(at) for c in batch.columns), pa.array(parts, pa.string())], names=[*columns, "name"])
+
+    fields = [rows.schema[c] for c in columns]
+    schema = T.StructType([*(T.StructField(f.name, f.dataType) for f in fields), T.StructField("name", T.StringType())])
+    known = rows.select(*columns).distinct().mapInArrow(run, schema).join(names, "name").groupBy(*columns).agg(F.collect_set("name").alias("__known"))
+    same = [rows[c].eqNullSafe(known[c]) for c in columns]
+    return rows.join(known, same, "left").select(*(rows[c] for c in rows.columns), "__known")
+
+
+def unpack(df: DataFrame, key: str, lists: list[str], headers: list[str], dictionary: list[str] | None = None, limit: int = DICTIONARY_LIMIT) -> DataFrame:
     """(key, hdr, pos, name, address): one row per value packed into the given fields.
 
     `lists` are arrays left by cutting an address list at commas (elements may be fragments
@@ -247,16 +289,25 @@ def unpack(df: DataFrame, key: str, lists: list[str], headers: list[str], dictio
     field from 1. name or address may be '' but not both; an address is in lower case. A name
     that only repeats or resembles an address is no value of its own, and null, blank, empty
     and undisclosed lists have none. Repeated rows give repeated rows; values may repeat
-    within a field and keep their places; other columns are ignored.
+    within a field and keep their places; other columns are ignored. More names than `limit`
+    are joined to the fields instead of broadcast.
     """
-    known = known_names(df, [*lists, *headers]) if dictionary is None else dictionary
+    names, known = None, dictionary
+    if known is None:
+        names = name_table(df, [*lists, *headers])
+        known = sorted(r.name for r in names.limit(limit + 1).collect())
+        names, known = (None, known) if len(known) <= limit else (names, [])
+    joins = names is not None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for_lists, for_headers = Segmenter(known, commas=False), Segmenter(known)
+        for_lists, for_headers = plain = Segmenter(known, commas=False), Segmenter(known)
         for batch in batches:
             take, hdr, pos, name, address = [], [], [], [], []
             columns = {c: batch.column(i + 1).to_pylist() for i, c in enumerate([*lists, *headers])}
+            own = batch.column(batch.num_columns - 1).to_pylist() if joins else None
             for i in range(batch.num_rows):
+                if own:
+                    for_lists, for_headers = (Segmenter(own[i], commas=False), Segmenter(own[i])) if own[i] else plain
                 for c, values in columns.items():
                     if not values[i]:
                         continue
@@ -270,4 +321,5 @@ def unpack(df: DataFrame, key: str, lists: list[str], headers: list[str], dictio
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(take, pa.int64())), pa.array(hdr, pa.string()), pa.array(pos, pa.int64()), pa.array(name, pa.string()), pa.array(address, pa.string())], names=[key, "hdr", "pos", "name", "address"])
 
     schema = T.StructType([T.StructField(key, df.schema[key].dataType), T.StructField("hdr", T.StringType()), T.StructField("pos", T.LongType()), T.StructField("name", T.StringType()), T.StructField("address", T.StringType())])
-    return df.select(key, *lists, *headers).mapInArrow(run, schema)
+    rows = df.select(key, *lists, *headers)
+    return (_with_names(rows, [*lists, *headers], names) if joins else rows).mapInArrow(run, schema)
