@@ -107,6 +107,31 @@ def test_limit_of_the_lexicon_changes_nothing(spark):
     assert values(few) == values(cut, many) and {"Anna Hill", "Bob Lee", "Cara Moss"} <= {v for _, _, v in values(cut, many)}
 
 
+def test_first_names_are_no_surnames(spark):
+    entries = ["Hill, Anna <anna.hill@x.example>", "Moss, Anna <anna.moss@x.example>", "Lee, Anna </O=X/CN=ALEE>", "Hill, Lars <lars.hill@x.example>", "Moss, Lars <lars.moss@x.example>", "Lee, Lars <lars.lee@x.example>",
+               "Zorin Anna <azorin@x.example>", "Hill, IS <hill.is@x.example>", "Moss, IS <m.is@x.example>", "Lee, IS <l.is@x.example>", "Moss Law <billing.moss@x.example>", "Lars, Bob <bob.lars@x.example>", "bob.lars@x.example"]
+    mails = spark.createDataFrame([Row(h=e) for e in entries for _ in range(3)], "h string")
+    seeds = personal.seed_pairs(mails, ["h"])
+    assert {(r.given, r.surname) for r in seeds.collect()} == {(g, s) for g in ("anna", "lars") for s in ("hill", "moss", "lee")} | {("anna", "zorin"), ("bob", "lars")}
+    lines = ["Thanks, Anna Anna Hill Manager", "Lars Anna will see what is short", "That is late and Is Hill here", "Anna Lars or Bob Lars", "Lars Lars Zorin", "we get that", "Liz Moss came", "Liz Moss went", "Liz Moss is here"]
+    texts = spark.createDataFrame([Row(k=i, message=t) for i, t in enumerate(lines)], "k int, message string")
+    patterns, _ = personal.learn(texts, "message", seeds)
+    assert patterns.dual == {("bob", "lars")} and not patterns.given & patterns.surnames and "is" not in patterns.given and "liz" in patterns.given
+    got = sorted((r.k, r.val) for r in personal.find_values(texts, "k", "message", patterns).collect())
+    assert got == [(0, "Anna Hill"), (3, "Bob Lars"), (4, "Lars Zorin"), (6, "Liz Moss"), (7, "Liz Moss"), (8, "Liz Moss")]
+
+
+def test_slips_of_given_names():
+    f = personal.Finder(personal.Patterns(given=frozenset({"francesca", "anna"}), surnames=frozenset({"hill"})))
+    for word in ("Francseca", "Francesa", "Francessca", "Franzesca", "Frances ca"):
+        assert f._slip(word) == (" " not in word)
+    assert not f._slip("Prancesca") and not f._slip("Anan") and not f._slip("francseca")
+
+
+def test_addresses_in_words_across_lines():
+    assert found("Copy anna.hill at x dot\nexample or\n> bob.lee at x\n> dot example on it") == [("email", "anna.hill at x dot example"), ("email", "bob.lee at x dot example")]
+
+
 def test_redaction_keeps_the_rest(spark):
     df = spark.createDataFrame([Row(k=1, message="Anna Hill, a@b.example: hi"), Row(k=2, message=None), Row(k=3, message="")], "k int, message string")
     got = {r.k: r.redacted for r in personal.redact(df, "k", "message", PATTERNS).collect()}

@@ -25,8 +25,9 @@ from ..operators.packed import address_of, clean_name
 from ..session import written
 
 KINDS = ("email", "phone", "id_number", "street_address", "name")
-#: Rounds of scoring; accepted share of a pattern's instances and of an instance's occurrences; least support.
-ROUNDS, PATTERN_SHARE, INSTANCE_SHARE, SUPPORT = 2, 0.6, 0.5, 2
+#: Rounds of scoring; accepted share of a pattern's instances and of an instance's occurrences; least support,
+#: and uses of a pattern with one instance only.
+ROUNDS, PATTERN_SHARE, INSTANCE_SHARE, SUPPORT, SOLE = 2, 0.6, 0.5, 2, 3
 #: Accepted surnames that are broadcast at most (about 30 bytes each); beyond it they are joined to the texts by shuffle.
 LEXICON_LIMIT = 300_000
 #: Words that announce identity numbers, and words that announce other numbers (fixed values).
@@ -38,8 +39,10 @@ _TITLES = frozenset({"mr", "mrs", "ms", "dr", "prof", "sir", "the", "and", "of",
 _SP = r"(?:[^\S\n]|[^\S\n]?\n(?:>+[^\S\n]?)*|\s>+\s)+"
 _SP0 = _SP[:-1] + "*"
 _LOCAL = re.compile(r"(?<![\w.+@/-])[\w.+'-]*\w\Z")
-_DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:(?:\.|\s?(?:\(dot\)|\[dot\]|\{dot\})\s?|\s(?:dot|DOT)\s)[A-Za-z0-9-]*[A-Za-z][A-Za-z0-9-]*)+(?![\w@-])")
-_AT = re.compile(r"@|\s?(?:\(at\)|\[at\]|\{at\}|<at>)\s?|\s(?:at|AT)\s(?=[\w-]+\s(?:dot|DOT)\s)")
+_DOMAIN = re.compile(rf"[A-Za-z0-9-]+(?:(?:\.|\s?(?:\(dot\)|\[dot\]|\{{dot\}})\s?|{_SP}(?:dot|DOT){_SP})[A-Za-z0-9-]*[A-Za-z][A-Za-z0-9-]*)+(?![\w@-])")
+_AT = re.compile(rf"@|\s?(?:\(at\)|\[at\]|\{{at\}}|<at>)\s?|{_SP}(?:at|AT){_SP}(?=[\w-]+{_SP}(?:dot|DOT){_SP})")
+#: Whether a text may hold an address without @.
+_DISGUISED = re.compile(r"[(\[{<]at[)\]}>]|\s(?:dot|DOT)\s")
 _EXT = rf"(?:{_SP0}(?:ext\.?|x|extension){_SP0}\d{{1,6}}\b)?"
 _PHONE = re.compile(
     rf"""(?<![\w.@/+\-#$])(?:
@@ -132,6 +135,8 @@ class Patterns:
     surnames: frozenset[str] = frozenset()
     labels: frozenset[tuple[str, str]] = frozenset()  # (label, shape) of identity numbers
     cities: frozenset[str] = frozenset()
+    #: (given, surname) of people whose surname is more often a first name: no other first name makes it a surname
+    dual: frozenset[tuple[str, str]] = frozenset()
 
 
 def _one_off(a: str, b: str) -> bool:
@@ -149,14 +154,16 @@ class Finder:
         self.p = patterns
         self.surnames = patterns.surnames if surnames is None else surnames
         self.slips: dict[str, bool] = {}
+        self.dual: dict[str, set[str]] = {}
+        for g, s in patterns.dual:
+            self.dual.setdefault(s, set()).add(g)
         self.automaton = ahocorasick.Automaton()
-        for s in self.surnames:
+        for s in (*self.surnames, *self.dual):
             self.automaton.add_word(s, len(s))
-        if self.surnames:
-            self.automaton.make_automaton()
+        self.automaton.make_automaton()
 
     def emails(self, text: str) -> Iterator[tuple[int, int]]:
-        if "(at)" in text or "[at]" in text or " dot " in text or " DOT " in text or "{at}" in text or "<at>" in text:
+        if _DISGUISED.search(text):
             marks = [m.span() for m in _AT.finditer(text)]
         else:
             marks, at = [], text.find("@")
@@ -201,7 +208,7 @@ class Finder:
         return 0
 
     def names(self, text: str) -> list[tuple[int, int]]:
-        if not self.surnames:
+        if not len(self.automaton):
             return []
         low = text.lower()
         if len(low) != len(text):
@@ -212,10 +219,18 @@ class Finder:
             if (a and (low[a - 1].isalnum() or low[a - 1] in "_@.'’-")) or (b < len(low) and (low[b].isalnum() or low[b] in "_@" or (low[b] in ".-'’" and b + 1 < len(low) and low[b + 1].isalnum() and low[b : b + 2] != "'s"))):
                 continue
             span = self._around(text, low, a, b)
+            if span and low[a:b] in self.dual and not self._meant(low[span[0] : span[1]], low[a:b]):
+                continue
             if span and (not found or span[0] >= found[-1][1]):
                 found.append(span)
         return found
 
+    def _meant(self, name: str, surname: str) -> bool:
+        """Whether a name with a surname that is mostly a first name is known as a whole, its first name or initial allowed."""
+        words = re.findall(r"[^\W\d_][\w'’-]*", name)
+        words.remove(surname)
+        return any(g == w or (len(w) == 1 and g[0] == w) for g in self.dual[surname] for w in words)
+
     def _around(self, text: str, low: str, a: int, b: int) -> tuple[int, int] | None:
         """The full name around the surname text[a:b], if it has a given name or initials."""
         left = _LEFT.search(text, max(0, a - 48), a)
@@ -278,47 +293,63 @@ _NEXT = re.compile(rf"(?:{_SP}[A-Z]\.?)?{_SP}([^\W\d_][\w'’-]+)")
 
 # -- bootstrapping
 
+#: Beginnings of addresses that belong to firms (fixed values).
+_ROLE = re.compile(r"(?:info|billing|notices|office|contact|sales|admin|support)(?:[._-]|\Z)")
 
-def header_names(value: str | list[str] | None) -> list[tuple[str, str]]:
-    """(given, surname) pairs, in lower case, that a header entry states beyond doubt: "Last,
-    First" before an address or path, and "First Last" whose address is first.last."""
+
+def header_names(value: str | list[str] | None) -> list[tuple[str, str, bool]]:
+    """(given, surname, sure) in lower case, as a header entry states them: "Last, First", the
+    address first.last, and "First Last" beside an address or path, which is not sure as it may
+    be "Last First" without its comma. Two capitals are initials, no first name."""
     out = []
     for entry in value if isinstance(value, list) else [value]:
         if not entry:
             continue
-        local = address_of(entry).split("@")[0]
+        local = address_of(entry).split("@")[0].lower()
         name = re.sub(r"\([^)]*\)", "", clean_name(entry)).strip() if "@" not in re.split("[<>/]", entry)[0] else ""
-        if re.search(r"\b(?:Inc|Co|Corp|LLC|Ltd|Company|Corporation|Group|Grp|Bank|Bk|Offices|Services|Energy|Pipeline)\b", name):
+        if re.match(_ROLE, local) or re.search(r"\b(?:Inc|Co|Corp|LLC|Ltd|Company|Corporation|Group|Grp|Bank|Bk|Offices|Services|Energy|Pipeline)\b", name):
             continue
-        if m := re.fullmatch(r"([^\W\d_][\w'’-]{2,}), ([^\W\d_][\w'’-]{1,})(?: [A-Z]\.?)?", name):
-            out.append((m.group(2).lower(), m.group(1).lower()))
-        elif (m := re.fullmatch(r"([^\W\d_][\w'’-]{1,})(?: [A-Z]\.?)? ([^\W\d_][\w'’-]{2,})", name)) and ("/" in entry or "<" in entry):
-            out.append((m.group(1).lower(), m.group(2).lower()))
-        elif not name and (m := re.fullmatch(r"([a-z]{3,})[._]([a-z]{3,})", local.lower())) and m.group(1) not in ("info", "billing", "notices"):
-            out.append((m.group(1), m.group(2)))
+        if m := re.fullmatch(r"([^\W\d_][\w'’-]{2,}), (?![A-Z]{2}\b)([^\W\d_][\w'’-]{1,})(?: [A-Z]\.?)?", name):
+            out.append((m.group(2).lower(), m.group(1).lower(), True))
+        elif (m := re.fullmatch(r"(?![A-Z]{2}\b)([^\W\d_][\w'’-]{1,})(?: [A-Z]\.?)? ([^\W\d_][\w'’-]{2,})", name)) and ("/" in entry or "<" in entry):
+            out.append((m.group(1).lower(), m.group(2).lower(), False))
+        elif not name and (m := re.fullmatch(r"([a-z]{3,})[._]([a-z]{3,})", local)):
+            out.append((m.group(1), m.group(2), True))
     return out
 
 
 def seed_pairs(headers: DataFrame, columns: list[str]) -> DataFrame:
-    """(given, surname, n) from structured headers, counted by batch and then by Spark."""
+    """(given, surname, n) from structured headers, counted by batch and then by Spark.
+
+    A pair that is not sure is turned where its second word is more of a first name than its
+    first by the sure pairs: by the share of those a word is the first name of, smoothed by one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            count: Counter[tuple[str, str]] = Counter()
+            count: Counter[tuple[str, str, bool]] = Counter()
             for column in batch.columns:
                 uses = Counter(e for v in column.to_pylist() for e in (v if isinstance(v, list) else (v,)))
                 for value, n in uses.items():
                     for pair in header_names(value):
                         count[pair] += n
-            yield pa.RecordBatch.from_arrays([pa.array([g for g, _ in count], pa.string()), pa.array([s for _, s in count], pa.string()), pa.array(list(count.values()), pa.int64())], names=["given", "surname", "n"])
+            columns = [pa.array([k[i] for k in count], kind) for i, kind in enumerate((pa.string(), pa.string(), pa.bool_()))]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(list(count.values()), pa.int64())], names=["given", "surname", "sure", "n"])
 
-    return headers.select(*columns).mapInArrow(run, "given string, surname string, n bigint").groupBy("given", "surname").agg(F.sum("n").alias("n"))
+    pairs = headers.select(*columns).mapInArrow(run, "given string, surname string, sure boolean, n bigint").groupBy("given", "surname", "sure").agg(F.sum("n").alias("n"))
+    pairs = written(pairs, "pairs")
+    uses = pairs.filter("sure").select(F.explode(F.array(F.struct(F.col("given").alias("word"), F.lit(1).alias("opens")), F.struct(F.col("surname").alias("word"), F.lit(0).alias("opens")))).alias("u"))
+    share = uses.groupBy("u.word").agg(((F.sum("u.opens") + 0.5) / (F.count("*") + 1)).alias("share"))
+    unsure = pairs.filter("not sure").join(share.withColumnsRenamed({"word": "given", "share": "a"}), "given", "left").join(share.withColumnsRenamed({"word": "surname", "share": "b"}), "surname", "left")
+    turn = F.coalesce("b", F.lit(0.5)) > F.coalesce("a", F.lit(0.5))
+    first, last = F.when(turn, F.col("surname")).otherwise(F.col("given")), F.when(turn, F.col("given")).otherwise(F.col("surname"))
+    return unsure.select(first.alias("given"), last.alias("surname"), "n").unionByName(pairs.filter("sure").drop("sure")).groupBy("given", "surname").agg(F.sum("n").alias("n"))
 
 
 def evidence(texts: DataFrame, text: str) -> DataFrame:
     """(graph, pattern, instance, n): every edge of the three graphs, counted by batch and then
-    by Spark. name: word before a capitalised word; id: label and shape; city: words after a
-    street with a state or without."""
+    by Spark. name: capitalised word ("^" for any other) before a capitalised word; id: label
+    and shape; city: words after a street with a state or without. The rows of graph "low" count
+    every word's uses in small letters; their pattern is empty."""
 
     def edges(t: str) -> Iterator[tuple[str, str, str]]:
         left = ""
@@ -329,7 +360,7 @@ def evidence(texts: DataFrame, text: str) -> DataFrame:
                     # only blanks may stand between a first name and a surname, or an initial's period
                     bare = left.lstrip(_AROUND)
                     near = w[0].isupper() and (bare.isalpha() or (len(bare) == 2 and bare[1] == "."))
-                    yield "name", "^" if not near else "initial" if len(bare) < 3 and not bare[1:].islower() else bare.lower(), word.lower()
+                    yield "name", "^" if not near or not bare[0].isupper() else "initial" if len(bare) < 3 and not bare[1:].islower() else bare.lower(), word.lower()
             if w.strip(">"):
                 left = w
         for m in numbers_in(t):
@@ -341,33 +372,51 @@ def evidence(texts: DataFrame, text: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             count: Counter[tuple[str, str, str]] = Counter()
+            used: Counter[str] = Counter()
             for t in batch.column(0).to_pylist():
                 if t:
                     count.update(edges(t))
+                    used.update(t.split())
+            for w, n in used.items():
+                if w.islower() and (bare := w.strip(_AROUND)).isalpha() and len(bare) > 2:
+                    count["low", "", bare] += n
             yield pa.RecordBatch.from_arrays([pa.array([k[i] for k in count], pa.string()) for i in range(3)] + [pa.array(list(count.values()), pa.int64())], names=["graph", "pattern", "instance", "n"])
 
     return texts.select(F.col(text).cast("string")).mapInArrow(run, "graph string, pattern string, instance string, n bigint").groupBy("graph", "pattern", "instance").agg(F.sum("n").alias("n"))
 
 
-def bootstrap(graph: DataFrame, seeds: DataFrame, rounds: int = ROUNDS) -> tuple[DataFrame, DataFrame]:
-    """(given: word, surnames: word): patterns and instances of the name graph after scoring.
+def bootstrap(graph: DataFrame, seeds: DataFrame, rounds: int = ROUNDS) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(given: word, surnames: word, dual: given, surname): patterns and instances of the name
+    graph after scoring, and the seeds whose surname is more often a first name.
 
-    The accepted words start as the seeds'. In every round a word before capitalised words is
-    accepted as a given name if PATTERN_SHARE of its different instances are accepted surnames
-    and SUPPORT of them are, and a capitalised word as a surname if INSTANCE_SHARE of its
-    occurrences stand behind accepted given names or initials, one at least behind a given name.
+    Words more often written in small letters than as a name are words of the language; they
+    count for nothing unless a seed. The accepted words start as the seeds'. In every round a
+    capitalised word before others is accepted as a given name if PATTERN_SHARE of its different
+    instances are accepted surnames and SUPPORT of them are (or its only instance is one, SOLE
+    times), and a capitalised word as a surname if INSTANCE_SHARE of its occurrences stand behind
+    accepted given names or initials, one at least behind a given name.
     """
-    name = graph.filter("graph = 'name'")
+    seeds = written(seeds, "seeds")
+    # two sums over one shuffle: uses of each word in small letters against its uses as a capitalised word
+    plain = graph.filter("graph in ('name', 'low')").groupBy("instance").agg(F.sum(F.when(F.col("graph") == "low", F.col("n")).otherwise(0)).alias("low"), F.sum(F.when(F.col("graph") == "name", F.col("n")).otherwise(0)).alias("cap")).filter("low > cap").select(F.col("instance").alias("word"))
+    plain = written(plain, "plain")
+    name = written(graph.filter("graph = 'name'").join(plain.withColumnRenamed("word", "instance"), "instance", "left_anti"), "names")
     strong = seeds.groupBy("given").agg(F.countDistinct("surname").alias("k"), F.sum("n").alias("n")).filter((F.col("k") >= 3) | (F.col("n") >= 5)).select(F.col("given").alias("word"))
     given = strong
-    surnames = seeds.filter(F.length("surname") > 2).join(strong.withColumnRenamed("word", "given"), "given", "left_semi").select(F.col("surname").alias("word")).distinct()
+    first = seeds.groupBy(F.col("given").alias("word")).agg(F.sum("n").alias("g"))
+    last = seeds.groupBy(F.col("surname").alias("word")).agg(F.sum("n").alias("s"))
+    mostly_given = first.join(last, "word").filter("g > s").select("word")
+    held = seeds.filter(F.length("surname") > 2).join(strong.withColumnRenamed("word", "given"), "given", "left_semi")
+    dual = held.join(mostly_given.withColumnRenamed("word", "surname"), "surname", "left_semi").select("given", "surname").distinct()
+    surnames = held.select(F.col("surname").alias("word")).distinct().join(mostly_given, "word", "left_anti")
     for k in range(rounds):
         known = surnames.withColumn("is_surname", F.lit(1))
         scored = (
             name.filter(~F.col("pattern").isin("^", "initial", *_TITLES)).join(given.withColumnRenamed("word", "instance"), "instance", "left_anti").join(known, F.col("instance") == F.col("word"), "left")
-            .groupBy("pattern").agg(F.count("*").alias("all"), F.sum(F.coalesce("is_surname", F.lit(0))).alias("hits"))
+            .groupBy("pattern").agg(F.count("*").alias("all"), F.sum("n").alias("n"), F.sum(F.coalesce("is_surname", F.lit(0))).alias("hits"))
         )
-        fresh = scored.filter((F.col("hits") >= SUPPORT) & (F.col("hits") >= PATTERN_SHARE * F.col("all"))).select(F.col("pattern").alias("word")).join(surnames, "word", "left_anti")
+        enough = (F.col("hits") >= SUPPORT) | ((F.col("hits") == F.col("all")) & (F.col("n") >= SOLE))
+        fresh = scored.filter(enough & (F.col("hits") >= PATTERN_SHARE * F.col("all"))).select(F.col("pattern").alias("word")).join(surnames, "word", "left_anti").join(plain, "word", "left_anti")
         given = written(given.unionByName(fresh).distinct(), f"given{k}")
         marked = name.join(given.withColumn("is_given", F.lit(1)), F.col("pattern") == F.col("word"), "left")
         by = (
@@ -377,7 +426,7 @@ def bootstrap(graph: DataFrame, seeds: DataFrame, rounds: int = ROUNDS) -> tuple
         )
         more = by.select(F.col("instance").alias("word")).join(given, "word", "left_anti")
         surnames = written(surnames.unionByName(more).distinct(), f"surnames{k}")
-    return given, surnames
+    return given, surnames, dual
 
 
 def id_labels(graph: DataFrame) -> list[tuple[str, str]]:
@@ -399,12 +448,12 @@ def id_labels(graph: DataFrame) -> list[tuple[str, str]]:
 def learn(texts: DataFrame, text: str, seeds: DataFrame, limit: int = LEXICON_LIMIT) -> tuple[Patterns, DataFrame | None]:
     """Accepted patterns; and the surnames as a table, if there are more than `limit`."""
     graph = written(evidence(texts, text), "graph")
-    given, surnames = bootstrap(graph, seeds)
+    given, surnames, dual = bootstrap(graph, seeds)
     few = surnames.limit(limit + 1).count() <= limit
     # given names are patterns with many surnames: their number is bounded by the distinct first names of the world; all are kept, as are all cities
     names = frozenset(r.word for r in given.collect())
     cities = frozenset(r.instance for r in graph.filter("graph = 'city' and n >= 2").select("instance").distinct().collect())
-    patterns = Patterns(names, frozenset(r.word for r in surnames.collect()) if few else frozenset(), frozenset(id_labels(graph)), cities)
+    patterns = Patterns(names, frozenset(r.word for r in surnames.collect()) if few else frozenset(), frozenset(id_labels(graph)), cities, frozenset((r.given, r.surname) for r in dual.collect()))
     return patterns, None if few else surnames
 
 
