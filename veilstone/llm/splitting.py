@@ -10,9 +10,9 @@ from __future__ import annotations
 
 import re
 from bisect import bisect_left, bisect_right
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -28,7 +28,12 @@ _NUMBERED = re.compile(rf"(?<!\S)(\d{{1,2}}|[IVXLC]+|[A-Z])[.)] (?={_TITLE})")
 _ALONE = re.compile(rf"\S+ {_TITLE_WORD}(?:\s+[A-Z§“\"]|[ \w]*\n| (?:(?:and|of|the|to|for|in|on) )+{_TITLE_WORD})")
 _SEPARATOR = re.compile(r"(?<!\S)(?:\*(?: ?\*){2,}|(?:# ?){3,}|(?:~ ?){3,}|(?:= ?){5,}|_{5,}|-{5,}|(?:• ?){3,}|⁂|§ § §|(?:- ){2,}-|o0o|oOo)(?!\S)")
 _CAPITALS = re.compile(r"(?<!\S)[A-Z][A-Z'’-]+(?: (?:[A-Z][A-Z'’-]*))*(?!\S)")
-_OWN_LINE = re.compile(rf"(?:^|(?<=\n))[ \t]*({_TITLE})[ \t]*(?=\n|\Z)")
+_OWN_LINE = re.compile(_TITLE)
+#: First characters of the marks above. Searching for them first is several times faster than trying a mark everywhere.
+_DASHES, _MARKS, _SEPARATES, _CAPITAL = re.compile("-{2}|[–—]"), re.compile(r"[\[§]"), re.compile("[*#~=_•⁂§-]|o[0O]o"), re.compile("[A-Z][A-Z'’-]")
+_LABELLED = re.compile("[0-9A-Z][.)](?= [A-Z])")
+#: Characters of pieces in one batch of the result.
+_BATCH_CHARS = 4_000_000
 _ABBREVIATION = re.compile(r"(?:\b(?:Mr|Mrs|Ms|Dr|No|Nos|Inc|Co|Corp|Ltd|Jr|Sr|St|Ct|App|Div|Dist|Rep|Sup|Cir|Supp|Rptr|Cal|Id|sec|Sec|art|Art|cl|ch|para|pp|v|vs|al|cf|Cf|e\.g|i\.e)|\b[A-Z])\.$")
 _PART = re.compile(r"(?i)\b(?:part|sec|section|article|art|rule|title|chapter|clause|exhibit|no|nos|appendix|schedule|under|count|item|paragraph|para|ch|cl|see|id|at|§)\.?$")
 
@@ -53,6 +58,45 @@ def _sentence_before(text: str, at: int) -> bool:
     return last.endswith((".", "!", "?")) and not _PART.search(last[:-1]) and not (_ABBREVIATION.search(last) and not last.endswith((").", "Inc.", "Co.")))
 
 
+def _matches(pattern: re.Pattern, first: re.Pattern, text: str) -> Iterator[re.Match]:
+    """What pattern.finditer(text) gives, tried only at words that begin as `first` does."""
+    done = 0
+    for m in first.finditer(text):
+        at = m.start()
+        if at >= done and (not at or text[at - 1].isspace()) and (found := pattern.match(text, at)):
+            done = found.end()
+            yield found
+
+
+def _numbered(text: str) -> Iterator[re.Match]:
+    """What _NUMBERED.finditer(text) gives, tried only before a period or bracket."""
+    for m in _LABELLED.finditer(text):
+        at = m.start()
+        while at and not text[at - 1].isspace() and m.start() - at < 8:
+            at -= 1
+        if (not at or text[at - 1].isspace()) and (found := _NUMBERED.match(text, at)):
+            yield found
+
+
+def _longest_row(row: list[tuple[int, int]]) -> list[int]:
+    """Offsets of the longest row of numbers that counts on by one, the first of equal ones."""
+    last: dict[int, tuple[int, int]] = {}  # by its last number: (length, index of that number)
+    before: list[int] = []
+    top = (0, -1)
+    for i, (n, _) in enumerate(row):
+        size, at = last.get(n - 1, (0, -1))
+        before.append(at)
+        if size + 1 > last.get(n, (0, -1))[0]:
+            last[n] = (size + 1, i)
+        if last[n][0] > top[0]:
+            top = last[n]
+    out, i = [], top[1]
+    while i >= 0:
+        out.append(row[i][1])
+        i = before[i]
+    return out[::-1]
+
+
 def section_starts(text: str) -> list[int]:
     """Offsets of the section heads of a text, 0 first.
 
@@ -63,17 +107,16 @@ def section_starts(text: str) -> list[int]:
     has ended, a bare title only on a line of its own.
     """
     found = {0}
-    separators = [m.start() for m in _SEPARATOR.finditer(text)]
-    found.update(separators)
-    found.update(m.start() for m in _DASHED.finditer(text))
-    for m in _MARKED.finditer(text):
+    found.update(m.start() for m in _matches(_SEPARATOR, _SEPARATES, text))
+    found.update(m.start() for m in _matches(_DASHED, _DASHES, text))
+    for m in _matches(_MARKED, _MARKS, text):
         before = text[max(0, m.start() - 16) : m.start()].rstrip()
         if not _PART.search(before) and (m.group(1) or _sentence_before(text, m.start()) or not re.search(r"[a-z,]$", before) or before.endswith(")")):
             found.add(m.start())
         elif m.group(2) and not _PART.search(before) and not before.endswith((",", "in", "of", "to", "and", "by", "with", "the")):
             found.add(m.start())
     rows: dict[str, list[tuple[int, int]]] = {"digit": [], "roman": [], "letter": []}
-    for m in _NUMBERED.finditer(text):
+    for m in _numbered(text):
         label, at = m.group(1), m.start()
         before = text[max(0, at - 16) : at].rstrip(" \t")
         if _PART.search(before):
@@ -89,16 +132,12 @@ def section_starts(text: str) -> list[int]:
         if len(label) == 1 and label in "CDILVX":
             rows["letter" if kind == "roman" else "roman"].append((_rank(label) if kind == "letter" else ord(label) - 64, at))
     for row in rows.values():
-        chains: dict[int, list[int]] = {}  # by its last number, the longest row that counts on by one
-        best: list[int] = []
-        for n, at in sorted((x for x in row if x[0] is not None), key=lambda x: x[1]):
-            chains[n] = max(chains.get(n, []), [*chains.get(n - 1, []), at], key=len)
-            best = max(best, chains[n], key=len)
+        best = _longest_row(sorted((x for x in row if x[0] is not None), key=lambda x: x[1]))
         if len(best) > 1:
             found.update(best)
         found.update(at for _, at in row if _sentence_before(text, at) and _ALONE.match(text[at : at + 120]))
     heads = sorted(found)
-    for m in _CAPITALS.finditer(text):
+    for m in _matches(_CAPITALS, _CAPITAL, text):
         at, words = m.start(), m.group().split(" ")
         if len(words[-1]) == 1 and len(words) > 1:
             words = words[:-1]  # the A or I that opens the next sentence
@@ -112,28 +151,41 @@ def section_starts(text: str) -> list[int]:
         if heads[i] and at - heads[i] < 10 and re.fullmatch(r"(?:\[?\w{1,5}[.\])]|§ ?\w{1,5}\.?|[-–—]+)\s", label):
             continue  # the title of a numbered head
         found.add(at)
-    for m in _OWN_LINE.finditer(text):
-        at = m.start(1)
+    line = 0
+    while line < len(text):
+        end = text.find("\n", line)
+        end = len(text) if end < 0 else end
+        at = line
+        while at < end and text[at] in " \t":
+            at += 1
+        title = text[at:end].rstrip(" \t") if end - at < 200 else ""
         above = text[max(0, at - 3) : at]
-        if at and "\n" in above and len(m.group(1)) <= 60 and _sentence_before(text, at) and re.search(r"[.!?\"”)*-]\s*$", text[max(0, at - 6) : at]):
+        if title[:1].isupper() and len(title) <= 60 and at and "\n" in above and _OWN_LINE.fullmatch(title) and _sentence_before(text, at) and re.search(r"[.!?\"”)*-]\s*$", text[max(0, at - 6) : at]):
             found.add(at)
+        line = end + 1
     return sorted(found)
 
 
-def boundaries(text: str) -> tuple[list[list[int]], list[int]]:
-    """Cut offsets by falling strength, and the section starts."""
+_LEVELS = tuple(re.compile(p) for p in (r"\n[ \t]*\n\s*", r"[.!?][\"”’')\]]*\s+(?=[\"“‘'(\[§]?[A-Z0-9])", r"\n", r"[;:,–—]\s+", r"\s+"))
+
+
+def boundaries(text: str) -> tuple[Iterable[list[int]], list[int]]:
+    """Cut offsets by falling strength, each kind searched for when it is first asked for, and the section starts."""
     sections = section_starts(text)
-    return [
-        sections[1:],
-        [m.end() for m in re.finditer(r"\n[ \t]*\n\s*", text)],
-        [m.end() for m in re.finditer(r"[.!?][\"”’')\]]*\s+(?=[\"“‘'(\[§]?[A-Z0-9])", text)],
-        [m.end() for m in re.finditer(r"\n", text)],
-        [m.end() for m in re.finditer(r"[;:,–—]\s+", text)],
-        [m.end() for m in re.finditer(r"\s+", text)],
-    ], sections
+
+    class Levels:
+        known = [sections[1:]]
+
+        def __iter__(self) -> Iterator[list[int]]:
+            for i in range(len(_LEVELS) + 1):
+                if i == len(self.known):
+                    self.known.append([m.end() for m in _LEVELS[i - 1].finditer(text)])
+                yield self.known[i]
+
+    return Levels(), sections
 
 
-def balanced_cuts(length: int, levels: list[list[int]], limit: int = LIMIT, overlap: int = OVERLAP) -> list[int]:
+def balanced_cuts(length: int, levels: Iterable[list[int]], limit: int = LIMIT, overlap: int = OVERLAP) -> list[int]:
     """The offsets at which pieces after the first start.
 
     The first piece may have `limit` characters, each later one limit - overlap new ones.
@@ -185,20 +237,32 @@ def split_oversized(df: DataFrame, key: str, text: str = "message", limit: int =
     if not 0 <= overlap < limit:
         raise ValueError("overlap must be smaller than limit")
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            for k, t in zip(f[key], f["__t"]):
+    kinds = [("piece", pa.int64()), ("pieces", pa.int64()), ("start", pa.int64()), ("end", pa.int64()), ("text", pa.string()), ("sections", pa.list_(pa.int64()))]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            take: list[int] = []
+            rows: list[tuple] = []
+            size = 0
+
+            def flush() -> pa.RecordBatch:
+                keys = batch.column(0).take(pa.array(take, pa.int64()))
+                return pa.RecordBatch.from_arrays([keys, *(pa.array([r[k] for r in rows], kind) for k, (_, kind) in enumerate(kinds))], names=[key, *(name for name, _ in kinds)])
+
+            for i, t in enumerate(batch.column(1).to_pylist()):
                 if len(t) <= limit:
                     cuts, sections = [], [0]
                 else:
                     levels, sections = boundaries(t)
                     cuts = balanced_cuts(len(t), levels, limit, overlap)
                 starts, ends = [0, *cuts], [*cuts, len(t)]
-                yield pd.DataFrame({
-                    key: [k] * len(starts), "piece": range(len(starts)), "pieces": [len(starts)] * len(starts), "start": starts, "end": ends,
-                    "text": [t[max(0, a - overlap) : b] for a, b in zip(starts, ends)],
-                    "sections": [sections[bisect_left(sections, a) : bisect_left(sections, b)] if len(t) else [0] for a, b in zip(starts, ends)],
-                })
+                take += [i] * len(starts)
+                rows += [(n, len(starts), a, b, t[max(0, a - overlap) : b], sections[bisect_left(sections, a) : bisect_left(sections, b)] if t else [0]) for n, (a, b) in enumerate(zip(starts, ends))]
+                size += len(t)
+                if size > _BATCH_CHARS:
+                    yield flush()
+                    take, rows, size = [], [], 0
+            yield flush()
 
     schema = T.StructType([T.StructField(key, df.schema[key].dataType), T.StructField("piece", T.LongType()), T.StructField("pieces", T.LongType()), T.StructField("start", T.LongType()), T.StructField("end", T.LongType()), T.StructField("text", T.StringType()), T.StructField("sections", T.ArrayType(T.LongType()))])
-    return df.select(F.col(key), F.col(text).cast("string").alias("__t")).filter("__t is not null").mapInPandas(run, schema)
+    return df.select(F.col(key), F.col(text).cast("string").alias("__t")).filter("__t is not null").mapInArrow(run, schema)
