@@ -87,28 +87,6 @@ def signature(values: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return low
 
 
-def text_classes(df: DataFrame, key: str, text: str, min_words: int) -> tuple[DataFrame, DataFrame]:
-    """(members: class, key), (classes: class, rep text): texts with the same words, at least
-    min_words of them. The class id is a 128-bit hash of the words."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import xxhash
-
-        for batch in batches:
-            keep, ids, joined = [], [], []
-            for i, t in enumerate(batch.column(1).to_pylist()):
-                found = words(t)
-                if len(found) >= min_words:
-                    line = " ".join(found)
-                    keep.append(i)
-                    ids.append(xxhash.xxh3_128_digest(line.encode()))
-                    joined.append(line)
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(keep, pa.int64())), pa.array(ids, pa.binary()), pa.array(joined, pa.string())], names=[key, "class", "line"])
-
-    schema = T.StructType([T.StructField(key, df.schema[key].dataType), T.StructField("class", T.BinaryType()), T.StructField("line", T.StringType())])
-    return df.select(F.col(key), F.col(text).cast("string")).mapInArrow(run, schema)
-
-
 def near_duplicates(df: DataFrame, key: str, text: str = "message", shingle: int = SHINGLE, threshold: float = THRESHOLD, min_words: int | None = None,
                     trees: int = TREES, depth: int = DEPTH, recall: float = RECALL, node_block: int = NODE_BLOCK) -> tuple[DataFrame, DataFrame]:
     """(members, links): members (class, key) has every row of at least min_words words
@@ -116,44 +94,48 @@ def near_duplicates(df: DataFrame, key: str, text: str = "message", shingle: int
     whose shingle sets reach the threshold.
 
     Null, empty and too short texts are in no class. Texts equal in all words share a class,
-    so copies, even a third of all rows, cost one signature and give no links. A class id
-    takes 16 bytes and depends on the words alone. Rows with a null key are members too;
+    so copies, even a third of all rows, cost one signature a task and give no links. A class
+    id is a 128-bit hash of the words. Rows with a null key are members too;
     repeated rows are repeated members; other columns are ignored; no rows give no rows.
     """
     used = prefix_depth(threshold, trees, depth, recall)
     a, b = _permutations(trees * used)
     shape = max(min_words or shingle, shingle)
-    records = text_classes(df, key, text, shape)
-    members = records.select("class", key)
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """One row per class met in a task: its shingles and the trie nodes it lies in."""
+        """Key and class of every text with enough words; with the first text of a class met in a
+        task also its shingles and the trie nodes it lies in."""
         import xxhash
 
         hashed, seen = _Hashed(), set()
         for batch in batches:
-            ids, sets, sizes, nodes = [], [], [], []
-            for cls, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            keep, ids, sets, nodes = [], [], [], []
+            for i, t in enumerate(batch.column(1).to_pylist()):
+                found = words(t)
+                if len(found) < shape:
+                    continue
+                cls = xxhash.xxh3_128_digest(" ".join(found).encode())
+                keep.append(i)
+                ids.append(cls)
                 if cls in seen:
+                    sets.append(None)
+                    nodes.append(None)
                     continue
                 if len(seen) > _WORDS_KEPT:
                     seen.clear()
                 seen.add(cls)
-                values = shingles(t.split(" "), shingle, hashed)
+                values = shingles(found, shingle, hashed)
                 low = signature(values, a, b).reshape(trees, used)
-                ids.append(cls)
                 sets.append(values.view(np.int32))
-                sizes.append(len(values))
                 nodes.append(np.fromiter((xxhash.xxh64_intdigest(low[k].tobytes(), k) for k in range(trees)), np.uint64, trees).view(np.int64))
-            offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
-            flat = np.concatenate(sets) if sets else np.empty(0, np.int32)
-            marks = np.concatenate(nodes) if nodes else np.empty(0, np.int64)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(ids, pa.binary()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat)), pa.ListArray.from_arrays(pa.array(np.arange(len(ids) + 1, dtype=np.int32) * trees), pa.array(marks))],
-                names=["class", "shingles", "nodes"],
+                [batch.column(0).take(pa.array(keep, pa.int64())), pa.array(ids, pa.binary()), pa.array(sets, pa.list_(pa.int32())), pa.array(nodes, pa.list_(pa.int64()))],
+                names=[key, "class", "shingles", "nodes"],
             )
 
-    signed = written(records.select("class", "line").mapInArrow(sign, "class binary, shingles array<int>, nodes array<bigint>"), "signed")
+    schema = T.StructType([T.StructField(key, df.schema[key].dataType), T.StructField("class", T.BinaryType()), T.StructField("shingles", T.ArrayType(T.IntegerType())), T.StructField("nodes", T.ArrayType(T.LongType()))])
+    everything = written(df.select(F.col(key), F.col(text).cast("string")).mapInArrow(sign, schema), "signed")
+    members, signed = everything.select("class", key), everything.filter("nodes is not null").select("class", "shingles", "nodes")
     # one number per class keeps the join rows short; two classes of one number would both be verified
     number = F.xxhash64("class")
     at = signed.select(number.alias("c"), F.size("shingles").alias("n"), F.explode("nodes").alias("node"))
