@@ -15,6 +15,7 @@ import re
 from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import pandas as pd
 import pyarrow as pa
@@ -139,10 +140,11 @@ class Patterns:
     dual: frozenset[tuple[str, str]] = frozenset()
 
 
-def _one_off(a: str, b: str) -> bool:
-    """Whether b is a with one letter changed or inserted."""
-    i = next((k for k, (x, y) in enumerate(zip(a, b)) if x != y), len(a))
-    return a[i + 1 :] == b[i + 1 :] if len(a) == len(b) else a[i:] == b[i + 1 :]
+@lru_cache(maxsize=2)
+def _deletions(given: frozenset[str]) -> tuple[frozenset[str], frozenset[tuple[int, str]]]:
+    """The longer names with one letter after the first left out: the words that remain, and the same with the letter's place."""
+    places = frozenset((i, g[:i] + g[i + 1 :]) for g in given if len(g) > 4 for i in range(1, len(g)))
+    return frozenset(w for _, w in places), places
 
 
 class Finder:
@@ -266,9 +268,10 @@ class Finder:
         """Whether a capitalised word is an accepted given name with two letters exchanged, one dropped, doubled or changed."""
         if word not in self.slips:
             w = word.lower()
+            shorter, places = _deletions(self.p.given)
             self.slips[word] = word[0].isupper() and len(w) > 4 and w not in _TITLES and (
                 any(w[:i] + w[i + 1] + w[i] + w[i + 2 :] in self.p.given or w[:i] + w[i + 1 :] in self.p.given for i in range(1, len(w) - 1))
-                or any(len(g) in (len(w), len(w) + 1) and g[0] == w[0] and len(g) > 4 and _one_off(w, g) for g in self.p.given)
+                or w in shorter or any((i, w[:i] + w[i + 1 :]) in places for i in range(1, len(w)))
             )
         return self.slips[word]
 
