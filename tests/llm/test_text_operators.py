@@ -146,3 +146,28 @@ def test_every_document_gets_its_exact_share(spark):
     for run in (3, 8, 11):
         got = repetition.features_and_repeats(texts, run)[1].tolist()
         assert got == [repetition.repeated_share(t, run) > 0 for t in texts]
+
+
+def test_classifier_decides_and_loses_no_repetitive_document(spark):
+    import random
+
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(3, 8)))
+    rows = []
+    for k in range(400):
+        # runs repeated far apart, one by one, so that the share lies on either side of 0.3
+        new = [word() for _ in range(400)]
+        runs = [[word() for _ in range(8)] for _ in range(k % 25)]
+        rows.append((k, " ".join(new + [w for r in runs for w in (*r, word())] + [w for r in runs for w in (*r, word())])))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = repetition.score_repetition(df).collect()
+    exact = {k: repetition.repeated_share(t) for k, t in rows}
+    assert {r.doc_id: r.repeated_share for r in got} == exact
+    true = {k for k, s in exact.items() if s >= 0.3}
+    assert true and {r.doc_id for r in got if r.is_repetitive} == true
+    passed = {r.doc_id for r in got if r.probability >= repetition.PASSES}
+    assert true <= passed and len(passed) < 0.8 * len(rows)  # most others never reach the check
+    assert not [r for r in repetition.score_repetition(df, passes=1.1).collect() if r.is_repetitive]
+    x = repetition.features([t for _, t in rows])
+    found, positives = repetition.fit(x, np.array([exact[k] >= 0.3 for k, _ in rows])).held_out
+    assert found == positives > 0

@@ -1,10 +1,11 @@
 """Repetition inside one document.
 
-A logistic regression over hashed word and character n-grams scores every document in
-Arrow batches; its probabilities are calibrated on held-out rows. Its training rows are a bounded sample of the table itself, labelled with the
-exact share of repeated words. The same pass tells by the hashes which documents repeat no
-run at all: equal runs have equal hashes, so their share is 0. All others are checked word
-by word, so every share is exact and none depends on the classifier.
+A logistic regression over hashed word and character n-grams scores every document in Arrow
+batches, and its calibrated probability is held against a fixed threshold. It is trained on
+labelled quality rows: a bounded sample of the table, labelled with the exact share of
+repeated words. Documents that pass the threshold are checked word by word. Besides, every
+document gets its share: where no two runs have one hash it is 0, as equal runs have equal
+hashes; elsewhere it is counted.
 """
 
 from __future__ import annotations
@@ -27,6 +28,9 @@ from .tokens import chunks
 RUN, SHARE = 8, 0.3
 #: Labelled rows the classifier is fitted on, at most.
 SAMPLE_ROWS = 2000
+#: Calibrated probability from which a document can be repetitive. Far below the point of balance:
+#: the exact check removes what passes wrongly, and of the held-out rows none is lost.
+PASSES = 0.02
 WORD_NGRAMS = (1, 2, 4, RUN)
 WORD_BUCKETS = CHAR_BUCKETS = 128
 CHAR_NGRAM = 5
@@ -60,8 +64,9 @@ def repeated_share(text: str | None, run: int = RUN) -> float:
 
 
 def features(texts: list[str | None]) -> np.ndarray:
-    """One row per text: shares of word 1- and character 5-grams by hash bucket, and for each
-    length of word n-grams the share that falls into a bucket hit more than once by this text."""
+    """One row per text: shares of word 1- and character 5-grams by hash bucket, for each length
+    of word n-grams the share that falls into a bucket hit more than once by this text, and the
+    share of words in runs whose 64-bit hash the text has more than once."""
     return features_and_repeats(texts)[0]
 
 
@@ -78,7 +83,7 @@ def features_and_repeats(texts: list[str | None], run: int = RUN) -> tuple[np.nd
         distinct[w] = xxhash.xxh64_intdigest(w)
     hashed = np.fromiter(map(distinct.__getitem__, chain.from_iterable(per_text)), np.uint64)
     owner = np.repeat(np.arange(n), sizes)
-    out = np.zeros((n, WORD_BUCKETS + CHAR_BUCKETS + len(WORD_NGRAMS) + 2), np.float32)
+    out = np.zeros((n, WORD_BUCKETS + CHAR_BUCKETS + len(WORD_NGRAMS) + 3), np.float32)
     total = np.maximum(sizes, 1)
     flat = owner * WORD_BUCKETS + (hashed % np.uint64(WORD_BUCKETS)).astype(np.int64)
     out[:, :WORD_BUCKETS] = np.bincount(flat, minlength=n * WORD_BUCKETS).reshape(n, -1) / total[:, None]
@@ -110,10 +115,15 @@ def features_and_repeats(texts: list[str | None], run: int = RUN) -> tuple[np.nd
         again = np.bincount(bucket, minlength=1 << _TABLE_BITS)[bucket] > 1
         if size == run:
             # equal hashes share a bucket, so only the runs of shared buckets are sorted
-            shared, of = mixed[again], owner[:m][inside][again]
-            order = np.lexsort((shared, of))
-            shared, of = shared[order], of[order]
-            repeats[of[1:][(shared[1:] == shared[:-1]) & (of[1:] == of[:-1])]] = True
+            shared, at = mixed[again], np.flatnonzero(inside)[again]
+            order = np.argsort(shared, kind="stable")
+            shared, at = shared[order], at[order]
+            same = (shared[1:] == shared[:-1]) & (owner[at[1:]] == owner[at[:-1]])
+            twice = at[np.concatenate([[False], same]) | np.concatenate([same, [False]])] if len(at) else at
+            edges = np.bincount(twice, minlength=len(hashed) + run) - np.bincount(twice + run, minlength=len(hashed) + run)
+            covered = np.bincount(owner[np.cumsum(edges)[: len(hashed)] > 0], minlength=n) / total
+            repeats = covered > 0
+            out[:, -3] = covered
         if size in WORD_NGRAMS:
             out[:, base + WORD_NGRAMS.index(size)] = np.bincount(owner[:m][inside], weights=again, minlength=n) / np.maximum(sizes - size + 1, 1)
     out[:, -2] = np.log1p(sizes) / 10
@@ -130,6 +140,8 @@ class Model:
     weights: np.ndarray
     slope: float = 1.0
     shift: float = 0.0
+    #: Repetitive rows held out from the fit, and how many of them reach PASSES.
+    held_out: tuple[int, int] = (0, 0)
 
     def probability(self, x: np.ndarray) -> np.ndarray:
         logit = ((x - self.mean) / self.scale) @ self.weights[:-1] + self.weights[-1]
@@ -165,6 +177,7 @@ def fit(x: np.ndarray, y: np.ndarray) -> Model:
         a, b = _newton(logit[:, None], target, 1e-3)
         if a > 0:
             model.slope, model.shift = float(a), float(b)
+    model.held_out = up, int((model.probability(x[held][y[held]]) >= PASSES).sum())
     return model
 
 
@@ -186,13 +199,14 @@ def train(df: DataFrame, key: str = "doc_id", text: str = "text", run: int = RUN
 
 
 def score_repetition(df: DataFrame, key: str = "doc_id", text: str = "text", run: int = RUN, share: float = SHARE,
-                     sample_rows: int = SAMPLE_ROWS) -> DataFrame:
+                     sample_rows: int = SAMPLE_ROWS, passes: float = PASSES) -> DataFrame:
     """(key, probability, repeated_share, is_repetitive) for every row.
 
-    probability is the classifier's, repeated_share the exact share; is_repetitive compares
-    that share with `share`. If the sample holds one class only, nothing can be fitted and
-    probability is null. Null, empty and short texts have share 0 and are not repetitive.
-    Repeated rows give repeated rows; other columns are ignored.
+    probability is the classifier's, repeated_share the exact share. A document is repetitive
+    if its probability reaches `passes` and its share, checked after, reaches `share`. If the
+    sample holds one class only, nothing can be fitted: probability is null and the share
+    alone decides. Null, empty and short texts have share 0 and are not repetitive. Repeated
+    rows give repeated rows; other columns are ignored.
     """
     model = train(df, key, text, run, share, sample_rows)
 
@@ -202,9 +216,10 @@ def score_repetition(df: DataFrame, key: str = "doc_id", text: str = "text", run
             for part in chunks(batch.column(1).to_pylist()):
                 x, repeats = features_and_repeats(part, run)
                 p = [None] * len(part) if model is None else model.probability(x)
+                passed = [True] * len(part) if model is None else p >= passes
                 exact = [repeated_share(t, run) if r else 0.0 for t, r in zip(part, repeats)]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(done, len(part)), pa.array(p, pa.float64()), pa.array(exact, pa.float64()), pa.array([e >= share for e in exact])],
+                    [batch.column(0).slice(done, len(part)), pa.array(p, pa.float64()), pa.array(exact, pa.float64()), pa.array([bool(k and e >= share) for k, e in zip(passed, exact)], pa.bool_())],
                     names=[key, "probability", "repeated_share", "is_repetitive"],
                 )
                 done += len(part)
