@@ -5,21 +5,19 @@ contexts smoothed by a fractional exponent a,
 
     ppmi = max(0, ln(tf * Z / (n_t * n_r ** a))),   Z = sum of n_r ** a over all records.
 
-Counting inside a record happens where the record lies; only counts by term are shuffled,
-pre-aggregated by batch and again by Spark. The marginals of terms meet the joint counts
-in one equi-join, whose joint side a caller's filter on tf reaches before the shuffle.
+Everything is a group-by or a join: one group-by counts the joint occurrences, a second over
+its result the marginals of terms, and both meet in one equi-join. A record's words are
+counted before they leave their task, so a term in all records is one row a record; the
+marginals, pre-aggregated again, are what is shuffled by term. Filters on the frequency in
+the record and in the table reach the two sides of the join before its shuffle.
 """
 
 from __future__ import annotations
 
 import re
-from collections import Counter
-from collections.abc import Iterator
 
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 #: Exponent that smooths the context counts, and the shortest term.
 SMOOTHING, MIN_LETTERS = 0.75, 4
@@ -30,45 +28,11 @@ def terms(text: str | None, min_letters: int = MIN_LETTERS) -> list[str]:
     return [w for w in re.findall("[a-z]+", text.lower()) if len(w) >= min_letters] if text else []
 
 
-def _joint(records: DataFrame, key: str, text: str, min_letters: int, min_tf: int) -> DataFrame:
-    """(key, term, tf, n_r) of every term that occurs at least min_tf times in a record."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            take, term, tf, size = [], [], [], []
-            for i, t in enumerate(batch.column(1).to_pylist()):
-                found = terms(t, min_letters)
-                for w, n in Counter(found).items():
-                    if n >= min_tf:
-                        take.append(i)
-                        term.append(w)
-                        tf.append(n)
-                        size.append(len(found))
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(take, pa.int64())), pa.array(term, pa.string()), pa.array(tf, pa.int64()), pa.array(size, pa.int64())], names=[key, "term", "tf", "n_r"])
-
-    schema = T.StructType([T.StructField(key, records.schema[key].dataType), T.StructField("term", T.StringType()), T.StructField("tf", T.LongType()), T.StructField("n_r", T.LongType())])
-    return records.select(F.col(key), F.col(text).cast("string")).mapInArrow(run, schema)
-
-
-def _marginals(records: DataFrame, text: str, min_letters: int, smoothing: float) -> DataFrame:
-    """(term, n_t, df) of every term, and one row with a null term holding Z in `z`; every
-    batch is counted where it lies, so a term in all records is one row a batch."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            count: Counter[str] = Counter()
-            within: Counter[str] = Counter()
-            z = 0.0
-            for t in batch.column(0).to_pylist():
-                found = terms(t, min_letters)
-                count.update(found)
-                within.update(set(found))
-                z += len(found) ** smoothing if found else 0.0
-            names = [*count, None]
-            yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array([*count.values(), 0], pa.int64()), pa.array([*(within[w] for w in count), 0], pa.int64()), pa.array([*[0.0] * len(count), z], pa.float64())], names=["term", "n_t", "df", "z"])
-
-    found = records.select(F.col(text).cast("string")).mapInArrow(run, "term string, n_t bigint, df bigint, z double")
-    return found.groupBy("term").agg(F.sum("n_t").alias("n_t"), F.sum("df").alias("df"), F.sum("z").alias("z"))
+def joint_counts(records: DataFrame, key: str, text: str = "message", min_letters: int = MIN_LETTERS) -> DataFrame:
+    """(key, n_r, term, tf): how often each term occurs in each record, and the terms of the record."""
+    found = F.regexp_extract_all(F.lower(F.col(text).cast("string")), F.lit(f"[a-z]{{{min_letters},}}"), F.lit(0))
+    each = records.select(F.col(key), found.alias("__found")).select(key, F.size("__found").alias("n_r"), F.explode("__found").alias("term"))
+    return each.groupBy(key, "n_r", "term").agg(F.count("*").alias("tf"))
 
 
 def term_scores(records: DataFrame, key: str, text: str = "message", min_letters: int = MIN_LETTERS, smoothing: float = SMOOTHING,
@@ -78,13 +42,13 @@ def term_scores(records: DataFrame, key: str, text: str = "message", min_letters
     min_tf and max_df keep terms that are frequent in their record or rare in the table;
     they filter the two sides of the join, and every count still covers all records.
     Null, empty and wordless texts give no rows; give one row per record (one_per_key)
-    where a table holds repeated rows. Other columns are ignored.
+    where a table holds repeated rows. Rows with a null key are told apart by their number
+    of terms only. Other columns are ignored.
     """
-    marginals = _marginals(records, text, min_letters, smoothing)
-    z = float(marginals.filter("term is null").agg(F.sum("z")).first()[0] or 0.0)
-    wanted = marginals.filter("term is not null").drop("z")
-    if max_df is not None:
-        wanted = wanted.filter(F.col("df") <= max_df)
-    joint = _joint(records, key, text, min_letters, min_tf)
-    pmi = F.log(F.col("tf") * F.lit(z) / (F.col("n_t") * F.pow(F.col("n_r").cast("double"), F.lit(smoothing))))
-    return joint.join(wanted, "term").select(key, "term", "tf", "df", F.greatest(pmi, F.lit(0.0)).alias("ppmi"))
+    joint = joint_counts(records, key, text, min_letters)
+    marginals = joint.groupBy("term").agg(F.sum("tf").alias("n_t"), F.count("*").alias("df"))
+    # sum of n_r ** a over records: every record adds tf / n_r of it with each of its terms
+    z = joint.agg(F.sum(F.col("tf") * F.pow(F.col("n_r").cast("double"), F.lit(smoothing - 1))).alias("z")).scalar()
+    wanted = marginals.filter(F.col("df") <= max_df) if max_df is not None else marginals
+    pmi = F.log(F.col("tf") * z / (F.col("n_t") * F.pow(F.col("n_r").cast("double"), F.lit(smoothing))))
+    return joint.filter(F.col("tf") >= min_tf).join(wanted, "term").select(key, "term", "tf", "df", F.greatest(pmi, F.lit(0.0)).alias("ppmi"))

@@ -68,16 +68,24 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return near.duplicate_pairs(members, links, "mail_id").select(F.col("a").alias("mail_a"), F.col("b").alias("mail_b"))
 
 
-def p7_found(spark: SparkSession, d: str) -> DataFrame:
-    """Words at least four times in one record and in at most five records."""
+def _term_scores(spark: SparkSession, d: str, **wanted: int) -> DataFrame:
     parts = []
     for src, key in (("mail", "mail_id"), ("opinions", "opinion_id")):
         records = one_per_key(table(spark, d, src, key, "message"), key, ["message"])
-        scored = distinctive.term_scores(records, key, "message", min_tf=4, max_df=5)
-        parts.append(scored.select(F.lit(src).alias("src"), F.col(key).alias("rec_id"), "term"))
+        parts.append(distinctive.term_scores(records, key, "message", **wanted).withColumnRenamed(key, "rec_id").select(F.lit(src).alias("src"), "*"))
     return parts[0].unionByName(parts[1])
 
 
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    """Words at least four times in one record and in at most five records."""
+    return _term_scores(spark, d, min_tf=4, max_df=5).select("src", "rec_id", "term")
+
+
+def p7_scores(spark: SparkSession, d: str) -> DataFrame:
+    """The score of every word of every mail and opinion."""
+    return _term_scores(spark, d).select("src", "rec_id", "term", "tf", F.round("ppmi", 6).alias("ppmi"))
+
+
 def p8_ids(spark: SparkSession, d: str) -> DataFrame:
     """Token ids of every document."""
     return tokens.encode_corpus(table(spark, d, "documents", "doc_id", "text"))
@@ -99,7 +107,7 @@ def p10_shares(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_pieces, p3_found, p4_found, p5_found, p5_redacted, p6_found, p7_found, p8_ids, p9_containers, p10_found, p10_shares)}
+    return {f.__name__: f for f in (p1_found, p1_pieces, p3_found, p4_found, p5_found, p5_redacted, p6_found, p7_found, p7_scores, p8_ids, p9_containers, p10_found, p10_shares)}
 
 
 _P6 = r"""WITH d AS (SELECT mail_id, regexp_extract_all(lower(any_value(message)), '[a-z0-9]+') AS w FROM mail WHERE message IS NOT NULL GROUP BY 1),
@@ -109,6 +117,10 @@ SELECT mail_a, mail_b FROM (SELECT a.mail_id AS mail_a, b.mail_id AS mail_b, cou
 _P7 = r"""WITH m AS (SELECT 'mail' AS src, mail_id AS rec_id, any_value(message) AS t FROM mail GROUP BY mail_id UNION ALL SELECT 'opinions', opinion_id, any_value(message) FROM opinions GROUP BY opinion_id),
 w AS (SELECT src, rec_id, unnest(list_filter(regexp_extract_all(lower(t), '[a-z]+'), lambda x: length(x) >= 4)) AS term FROM m), c AS (SELECT src, rec_id, term, count(*) AS n FROM w GROUP BY ALL)
 SELECT src, rec_id, term FROM (SELECT *, count(*) OVER (PARTITION BY src, term) AS df FROM c) WHERE n >= 4 AND df <= 5"""
+_P7_SCORES = r"""WITH m AS (SELECT 'mail' AS src, mail_id AS rec_id, any_value(message) AS t FROM mail GROUP BY mail_id UNION ALL SELECT 'opinions', opinion_id, any_value(message) FROM opinions GROUP BY opinion_id),
+w AS (SELECT src, rec_id, unnest(list_filter(regexp_extract_all(lower(t), '[a-z]+'), lambda x: length(x) >= 4)) AS term FROM m), c AS (SELECT src, rec_id, term, count(*) AS tf FROM w GROUP BY ALL),
+r AS (SELECT src, rec_id, sum(tf) AS n_r FROM c GROUP BY ALL), z AS (SELECT src, sum(pow(n_r, 0.75)) AS z FROM r GROUP BY src), t AS (SELECT src, term, sum(tf) AS n_t FROM c GROUP BY ALL)
+SELECT src, rec_id, term, tf, round(greatest(ln(tf * z / (n_t * pow(n_r, 0.75))), 0), 6) AS ppmi FROM c JOIN r USING (src, rec_id) JOIN t USING (src, term) JOIN z USING (src)"""
 _P10 = r"""WITH d AS (SELECT doc_id, list_filter(string_split_regex(lower(text), '[ \t\n\r]+'), lambda x: x <> '') AS w FROM documents),
 g AS (SELECT doc_id, len(w) AS n, unnest(range(1, len(w) - 6)) AS i, w FROM d WHERE len(w) > 8), h AS (SELECT doc_id, n, i, array_to_string(w[i:i + 7], ' ') AS t FROM g),
 r AS (SELECT doc_id, n, i FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, t) AS c FROM h) WHERE c > 1), p AS (SELECT DISTINCT doc_id, n, i + k AS at FROM r, range(8) z(k))
@@ -117,4 +129,4 @@ SELECT doc_id FROM p GROUP BY doc_id, n HAVING count(*) >= 0.3 * n"""
 
 def oracle_sql() -> dict[str, str]:
     """SQL over whole tables where it can say the same."""
-    return {"p6_found": _P6, "p7_found": _P7, "p10_found": _P10}
+    return {"p6_found": _P6, "p7_found": _P7, "p7_scores": _P7_SCORES, "p10_found": _P10}
