@@ -5,7 +5,7 @@ from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from veilstone.operators import actions, alias, audit, dedupe, direct, judge, masking, metrics, packed, retrieval, roster
-from veilstone.sources import mailfiles, opinions, sinks, synthetic
+from veilstone.sources import mailfiles, opinions, sinks, synthetic, tables
 from veilstone.streaming import scan
 
 
@@ -106,8 +106,48 @@ def test_direct_search_redaction_and_read_back(spark):
     assert all(r.ok for r in actions.read_back(actions.apply_redaction(df, plan), plan).collect())
     gone = actions.hard_delete(df, actions.action_plan(kept, "hard_delete"))
     assert [r._id for r in gone.collect()] == ["4"]
-    lines = [r.line for r in actions.remediation_script(actions.action_plan(kept, "hard_delete")).orderBy("seq").collect()]
-    assert lines[0] == "#!/bin/sh" and sum(x.startswith("curl -sS -X DELETE") for x in lines) == 3
+    lines = [r.line for r in actions.remediation_script(actions.action_plan(kept, "hard_delete")).collect()]
+    assert lines[0] == "#!/bin/sh" and sum(x.startswith("curl -sS --fail -X DELETE") for x in lines) == 3
+
+
+EV = "doc_id string, index string, is_identifiable boolean, confidence_score double, identifying_snippets array<string>, identifying_fields array<struct<field:string,value:string,matched:string,type:string>>"
+
+
+def test_two_indexes_may_share_an_id(spark):
+    docs = frame(spark, [("1", "m", "Ann Hill, 555", "Ann <a@x>"), ("1", "o", "Ann Hill, 555", "Ann <a@x>"), ("2", "m", "Ann", None)], "_id string, _index string, message string, sender string")
+    direct_ = frame(spark, [("1", "m", True, 1.0, ["Ann"], [("sender", "Ann <a@x>", "Ann", "name")])], EV)
+    indirect = frame(spark, [("1", "m", True, 0.9, ["Hill, 555", "Ann"]), ("2", "o", True, 0.8, None)], EV.rsplit(",", 2)[0].rsplit(", identifying_fields", 1)[0])
+    both = actions.union_flagged(direct_, indirect)
+    got = {(r["index"], r.doc_id): r for r in both.collect()}
+    assert set(got) == {("m", "1"), ("o", "2")} and got["m", "1"].confidence_score == 1.0
+    assert set(got["m", "1"].identifying_snippets) == {"Ann", "Hill, 555"} and len(got["m", "1"].identifying_fields) == 1 and got["o", "2"].identifying_snippets == []
+    for plan in (actions.action_plan(both, "redact_in_place"), actions.action_plan(direct_, "redact_in_place").unionByName(actions.action_plan(indirect, "redact_in_place"))):
+        out = actions.apply_redaction(docs, plan, fields=["sender"])
+        after = {(r._index, r._id): (r.message, r.sender) for r in out.collect()}
+        assert after == {("m", "1"): ("[GDPR_REDACTED] [GDPR_REDACTED]", "[GDPR_REDACTED]"), ("o", "1"): ("Ann Hill, 555", "Ann <a@x>"), ("m", "2"): ("Ann", None)}
+        checked = {(r["index"], r.doc_id): r.ok for r in actions.read_back(out, plan, fields=["sender"]).collect()}
+        assert checked == {("m", "1"): True, ("o", "2"): False}
+        assert not actions.read_back(docs, plan, fields=["sender"]).filter("ok").count()
+    left = actions.hard_delete(docs, actions.action_plan(both, "hard_delete"))
+    assert {(r._index, r._id) for r in left.collect()} == {("o", "1"), ("m", "2")}
+    assert {r.ok for r in actions.read_back(left, actions.action_plan(both, "hard_delete")).collect()} == {True}
+
+
+def test_the_script_is_valid_shell_and_stays_in_its_lines(spark, tmp_path):
+    import json
+    import subprocess
+
+    rows = [("a\nrm -rf x'$(id)", "m", True, 1.0, ["it's \"5\"\nJSON"], [("sender", "Ann", None, "name")]), ("b", "m", True, 1.0, [], None)]
+    plan = actions.action_plan(frame(spark, rows, EV), "redact_in_place")
+    lines = [r.line for r in actions.remediation_script(plan).collect()]
+    (tmp_path / "s.sh").write_text("\n".join(lines) + "\n")
+    assert subprocess.run(["sh", "-n", str(tmp_path / "s.sh")]).returncode == 0
+    assert not [x for line in lines for x in line.split("\n") if x.startswith("rm ")] and sum("--fail -X POST" in x for x in lines) == 2
+    bodies = [json.loads(x.split("\n")[1])["script"] for x in lines if "/_update/" in x]
+    assert bodies[0]["params"]["snippets"] == ["it's \"5\"\nJSON"] and bodies[1]["params"]["fields"] == {"sender": ["Ann"]} and all(b["source"] for b in bodies)
+    seen = actions.request_preview(plan).first()
+    assert seen.path.endswith("_update_by_query") and json.loads(seen.body)["script"]["params"]["snippets"] == ["it's \"5\"\nJSON"] and seen.documents == 2
+    assert actions.request_preview(plan.filter("false")).count() == 0
 
 
 def test_sequential_literal_redaction(spark):
@@ -287,3 +327,54 @@ def test_entry_and_registered_queries(spark, data_dir):
 
     assert e.entry(spark).count() > 0
     assert set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_addresses_by_the_rules_of_mail(spark):
+    assert roster.parse_addresses(['"Allen', 'Phillip K" <P.Allen@x.org>', '"bo@x.org" <bo@x.org>', None]) == [("Allen, Phillip K", "p.allen@x.org"), ("", "bo@x.org")]
+    assert roster.parse_addresses("<<broken a@x.org> and a@x.org") and roster.parse_addresses(None) == [] and roster.parse_addresses("no address") == []
+    df = frame(spark, [(1, "Ann <a@x.org>", ["b@x.org"]), (2, None, None), (3, "", [])], "mail_id long, mail_from string, mail_to array<string>")
+    got = {(r.mail_id, r.field, r.pos, r.name, r.address) for r in roster.address_entries(df, "mail_id", ["mail_from", "mail_to"]).collect()}
+    assert got == {(1, "mail_from", 1, "Ann", "a@x.org"), (1, "mail_to", 1, "", "b@x.org")}
+    assert roster.address_entries(df.filter("false"), "mail_id", ["mail_from"]).count() == 0
+
+
+def test_loose_report_finds_names_inside_words(spark):
+    df = frame(spark, [("Ann-Draväne", ), ("undravänely", ), ("nobody", ), (None, )], "message string")
+    row = masking.loose_report(df, ["Draväne", "Ann"]).first()
+    assert (row.documents, row.hits) == (2, 2)
+    assert masking.loose_report(df, ["Ann"]).first().documents == 0
+
+
+def test_fields_in_schemas():
+    from pyspark.sql.types import StructType
+
+    schema = StructType.fromDDL("a struct<b: array<struct<c: int>>>, d string")
+    assert tables.has_field(schema, "a.b.c") and tables.has_field([StructType(), schema], "d")
+    assert not tables.has_field(schema, "a.c") and not tables.has_field(schema, "d.e") and not tables.has_field([], "a")
+
+
+def test_profiles_share_their_terms():
+    built = metrics.build_profiles(["t1", "t2", "t3"])
+    assert all(all(t in p["profile"] for t in ("t1", "t2", "t3")) for p in built) and {p["keywords"] for p in built} == {"t1 t2 t3"}
+    assert len({p["profile"] for p in built}) == 3
+
+
+def test_positives_in_prose_and_in_lists(spark):
+    docs = frame(spark, [("1", "We asked Dravane to sign the lease before noon."), ("2", "To: Dravane; Hill; Moss; Lee"), ("3", None)], "doc_id string, text string")
+    found = frame(spark, [("1",), ("1",), ("2",), ("3",), ("4",)], "doc_id string")
+    got = {r.doc_id: (r.kind, r.digest is not None) for r in metrics.descriptive_split(found, docs, "Dravane", "X").collect()}
+    assert got == {"1": ("descriptive", True), "2": ("list_only", False), "3": ("list_only", False), "4": ("list_only", False)}
+    assert {r.doc_id for r in metrics.demo_positives(frame(spark, [("a", "subject"), ("b", "direct"), ("c", "decoy"), ("d", None)], "doc_id string, class string")).collect()} == {"a", "b"}
+    basis = metrics.report_basis({"aliases": {"variants": ["x", "y"]}}, [10], metrics.build_profiles(["t"]))
+    assert basis["mask_variants"] == 2 and basis["ks"] == [10] and len(basis["wordings"]) == 3
+
+
+def test_duplicates_count_once_in_significant_terms(spark):
+    rows = [("a", "zeta alpha beta"), ("b", "zeta alpha beta"), ("c", "zeta  alpha beta"), ("d", "zeta gamma"), ("e", "zeta delta"), ("f", "alpha"), ("g", "other words")]
+    df = frame(spark, rows, "k string, t string")
+    fg = df.filter("k in ('c', 'd', 'e')").select("k")
+    unique = {r.term: (r.fg, r.bg) for r in retrieval.significant_terms(df, fg, "k", "t").collect()}
+    assert unique == {"zeta": (3, 3)}
+    every = {r.term: (r.fg, r.bg) for r in retrieval.significant_terms(df, fg, "k", "t", drop_duplicates=False).collect()}
+    assert every == {"zeta": (3, 5)}
+    assert retrieval.significant_terms(df.filter("false"), fg, "k", "t").count() == 0

@@ -82,7 +82,7 @@ def export_script(spark, a):
     flagged = _flagged(spark, a)
     actions.assert_not_on_hold(flagged, a.hold or [])
     todo = actions.action_plan(flagged, a.action)
-    lines = [r.line for r in actions.remediation_script(todo).orderBy("seq").toLocalIterator()]
+    lines = [r.line for r in actions.remediation_script(todo).toLocalIterator()]
     if len(lines) <= 2:
         raise ValueError("nothing is flagged")
     text = "\n".join(lines) + "\n"

@@ -9,9 +9,11 @@ from pyspark.sql import functions as F
 EMAIL = r"[A-Za-z0-9._%+\-]+@[A-Za-z0-9.\-]+\.[A-Za-z]{2,}"
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1?\d?\d)"
 IPV4 = rf"\b(?:{_OCTET}\.){{3}}{_OCTET}\b"
-_GROUP, _EDGE = r"[A-Fa-f0-9]{1,4}", (r"(?<![\w:.])", r"(?![\w:.])")
 #: Eight groups, or up to seven on either side of a double colon.
-IPV6 = "|".join(_EDGE[0] + body + _EDGE[1] for body in (rf"(?:{_GROUP}:){{7}}{_GROUP}", rf"(?:{_GROUP})?(?::{_GROUP}){{0,6}}::(?:{_GROUP})?(?::{_GROUP}){{0,6}}"))
+IPV6 = (
+    r"(?<![\w:.])(?:[A-Fa-f0-9]{1,4}:){7}[A-Fa-f0-9]{1,4}(?![\w:.])"
+    r"|(?<![\w:.])(?:[A-Fa-f0-9]{1,4})?(?::[A-Fa-f0-9]{1,4}){0,6}::(?:[A-Fa-f0-9]{1,4})?(?::[A-Fa-f0-9]{1,4}){0,6}(?![\w:.])"
+)
 PHONE = r"\+?\d[\d\s().\-]{7,}\d"
 EXTENSION = r"(?i)\b(?:x|ext\.?|extension)\s*\d{3,6}\b"
 PHONE_DIGITS = 10
@@ -41,4 +43,4 @@ def scan(text: Column, ipv6: bool = True) -> Column:
 def phone_signals(text: Column) -> Column:
     """How many phone numbers and extensions a text holds, repeated ones counted again."""
     numbers = F.size(F.filter(F.regexp_extract_all(text, F.lit(f"({PHONE})"), 1), lambda x: digits(x) >= PHONE_DIGITS))
-    return numbers + F.size(F.regexp_extract_all(text, F.lit(EXTENSION.replace("(?:x", "((?:x", 1) + ")"), 1))
+    return numbers + F.size(F.regexp_extract_all(text, F.lit(EXTENSION), 0))

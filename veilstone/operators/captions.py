@@ -7,22 +7,20 @@ from pyspark.sql import functions as F
 
 #: First words of institutions, and words that make a party an organisation wherever they stand (fixed values).
 INSTITUTIONS = (
-    "administration", "agency", "board", "bureau", "city", "commissioner", "commonwealth", "county", "court", "department", "director", "district", "division", "estate", "government", "hospital",
-    "matter", "people", "republic", "school", "secretary", "sheriff", "state", "states", "town", "township", "united", "university", "village", "warden",
+    "united", "state", "states", "people", "commonwealth", "city", "county", "town", "village", "township", "department", "board", "bureau", "district", "court", "commissioner", "secretary",
+    "director", "warden", "sheriff", "estate", "matter", "university", "hospital", "school", "administration", "division", "agency", "republic", "government",
 )
 CORPORATE = (
-    "airlines", "associates", "association", "bank", "co", "companies", "company", "corp", "corporation", "enterprises", "foundation", "group", "holdings", "inc", "industries", "insurance", "llc",
-    "llp", "ltd", "motors", "partners", "railroad", "railway", "services", "systems", "trust",
+    "inc", "llc", "llp", "ltd", "corp", "corporation", "company", "companies", "co", "bank", "insurance", "holdings", "associates", "partners", "trust", "systems", "group", "enterprises",
+    "industries", "services", "association", "railroad", "railway", "airlines", "motors", "foundation",
 )
 #: Roles and offices that are no part of a party's name, generational and professional suffixes (fixed values).
-ROLES = (
-    r"appell(?:ants?|ees?)", r"attorney\s+general", r"claimants?", r"cross[-\s]?\w+", r"d/b/a", r"a/k/a", r"defendants?", r"district\s+attorney", r"et\s+al", r"et\s+ux", r"garnishees?",
-    r"guardian\s+ad\s+litem", r"husband", r"in\s+her\s+\w+\s+capacity", r"in\s+his\s+\w+\s+capacity", r"individually", r"intervenors?", r"minor\s+child", r"movants?", r"next\s+friend",
-    r"petitioners?", r"plaintiffs?", r"pro\s+se", r"relators?", r"respondents?", r"solicitor\s+general", r"wife",
+_ROLE = (
+    r"(?i)[,;]?\s*\b(?:defendants?|plaintiffs?|appell(?:ants?|ees?)|petitioners?|respondents?|movants?|intervenors?|claimants?|garnishees?|relators?|cross[-\s]?\w+|et\s+al|et\s+ux|pro\s+se|individually|d/b/a|a/k/a|"
+    r"attorney\s+general|solicitor\s+general|district\s+attorney|husband|wife|minor\s+child|next\s+friend|guardian\s+ad\s+litem|in\s+his\s+\w+\s+capacity|in\s+her\s+\w+\s+capacity)\b\.?"
 )
-SUFFIXES = ("esq", "ii", "iii", "iv", "jr", "md", "phd", "sr")
+_SUFFIX = r"(?i)[,\s]+\b(?:jr|sr|ii|iii|iv|esq|md|phd)\b\.?$"
 MIN_SURNAME = 4
-_ROLE = r"(?i)[,;]?\s*\b(?:" + "|".join(ROLES) + r")\b\.?"
 _EDGE = r"^[ ,;.\-]+|[ ,;.\-]+$"
 
 
@@ -30,7 +28,7 @@ def _tidy(party: Column) -> Column:
     """A party without roles, article and suffix."""
     p = F.regexp_replace(F.regexp_replace(party, _ROLE, " "), r"[\s\-]{2,}", " ")
     p = F.regexp_replace(F.regexp_replace(p, _EDGE, ""), r"(?i)^(?:the|a|an)\s+", "")
-    return F.regexp_replace(F.regexp_replace(p, r"(?i)[,\s]+\b(?:" + "|".join(SUFFIXES) + r")\b\.?$", ""), _EDGE, "")
+    return F.regexp_replace(F.regexp_replace(p, _SUFFIX, ""), _EDGE, "")
 
 
 def parties(caption: Column) -> Column:

@@ -12,9 +12,8 @@ from ..functions.personal import scan
 from ..functions.text import find_verbatim, has_phrase, query_terms_present
 
 #: Words in a field's name that mark it as naming people (fixed values).
-IDENTITY_HINTS = (
-    "account", "actor", "agent", "assignee", "author", "caller", "cc", "created_by", "custodian", "email", "employee", "from", "mail", "name", "operator", "owner",
-    "parties", "party", "principal", "recipient", "reporter", "reviewer", "sender", "subject", "to", "updated_by", "user", "userid", "username",
+IDENTITY_HINT = (
+    r"(?:^|[._-])(?:user|username|userid|actor|principal|subject|author|owner|assignee|reporter|custodian|employee|account|email|mail|from|to|cc|sender|recipient|caller|agent|operator|created_by|updated_by|reviewer|party|parties|name)(?:$|[._-])"
 )
 EVALUATION = "doc_id string, index string, is_identifiable boolean, confidence_score double, identifying_snippets array<string>, identifying_fields array<struct<field:string,value:string,matched:string,type:string>>, reasoning string, text string, timestamp timestamp"
 
@@ -32,7 +31,7 @@ def naming_fields(schema: T.StructType, text_field: str) -> list[tuple[str, str,
     """(field, type, searchable) of the string fields whose name holds an identity hint as a
     part delimited by dots, dashes or underscores, by name. The searched field is left out;
     metadata {"searchable": false} marks a field that cannot be searched."""
-    hint = re.compile(r"(?:^|[._-])(?:" + "|".join(map(re.escape, IDENTITY_HINTS)) + r")(?:$|[._-])", re.I)
+    hint = re.compile(IDENTITY_HINT, re.I)
     out = []
 
     def walk(struct: T.StructType, prefix: str) -> None:

@@ -129,7 +129,9 @@ def postings(docs: DataFrame, key: str, text: str) -> DataFrame:
 def bm25_many(docs: DataFrame, queries: DataFrame, key: str, text: str) -> DataFrame:
     """(query, id, score) for a table of queries (query, term), all in one job."""
     n, avgdl = docs.select(F.size(tokens(F.col(text))).alias("dl")).agg(F.count("*"), F.avg("dl")).first()
-    index = postings(docs, key, text).join(queries.select("term").distinct(), "term", "left_semi")
+    # terms nobody asks for leave before anything is grouped
+    toks = docs.select(F.col(key).alias("id"), tokens(F.col(text)).alias("toks")).select("id", F.size("toks").alias("dl"), F.explode("toks").alias("term"))
+    index = toks.join(queries.select("term").distinct(), "term", "left_semi").groupBy("term", "id", "dl").agg(F.count("*").alias("tf"))
     df = index.groupBy("term").agg(F.count("*").alias("df"))
     idf = F.log(1.0 + (F.lit(float(n)) - F.col("df") + 0.5) / (F.col("df") + 0.5))
     tf = F.col("tf").cast("double")
@@ -138,19 +140,25 @@ def bm25_many(docs: DataFrame, queries: DataFrame, key: str, text: str) -> DataF
     return scored.groupBy("query", "id").agg(F.round(F.sum("part"), DIGITS).alias("score"))
 
 
-def significant_terms(docs: DataFrame, foreground: DataFrame, key: str, text: str, size: int = 30, min_doc_count: int = 3, drop_duplicates: bool = False) -> DataFrame:
+def significant_terms(docs: DataFrame, foreground: DataFrame, key: str, text: str, size: int = 30, min_doc_count: int = 3, drop_duplicates: bool = True) -> DataFrame:
     """(term, fg, bg, score): terms more common in the foreground ids than in all documents, by
     (fg% - bg%) * fg% / bg%, best first, ties by term. drop_duplicates counts texts with the
-    same near-duplicate key once."""
+    same near-duplicate key once: the one of the smallest id, a foreground id first.
+
+    The background is counted without a join; only the foreground's own texts meet its ids."""
     rows = docs.select(F.col(key).alias("id"), F.col(text).alias("t"))
+    ids = foreground.select(F.col(key).alias("id")).distinct()
     if drop_duplicates:
-        rows = rows.withColumn("k", near_dup_key(F.col("t"))).groupBy("k").agg(F.min_by(F.struct("id", "t"), "id").alias("r")).select("r.id", "r.t")
-    marked = rows.join(foreground.select(F.col(key).alias("id"), F.lit(1).alias("in_fg")).distinct(), "id", "left")
-    counts = marked.agg(F.count("*").alias("n"), F.count("in_fg").alias("n_fg"))
-    terms = marked.select("in_fg", F.explode(F.array_distinct(tokens(F.col("t")))).alias("term")).groupBy("term").agg(F.count("in_fg").alias("fg"), F.count("*").alias("bg"))
-    f, b = F.col("fg") / F.col("n_fg"), F.col("bg") / F.col("n")
-    scored = terms.filter(F.col("fg") >= min_doc_count).crossJoin(F.broadcast(counts)).filter(f > b)
-    return scored.select("term", "fg", "bg", F.round((f - b) * (f / b), DIGITS).alias("score")).orderBy(F.desc("score"), "term").limit(size)
+        marked = rows.select("id", near_dup_key(F.col("t")).alias("k")).join(ids.withColumn("in_fg", F.lit(True)), "id", "left")
+        kept = marked.groupBy("k").agg(F.min_by("id", F.struct(F.col("in_fg").isNull(), F.col("id"))).alias("id")).select("id")
+        rows = rows.join(kept, "id", "left_semi")
+    terms = lambda r: r.select(F.explode(F.array_distinct(tokens(F.col("t")))).alias("term"))
+    mine = rows.join(ids, "id", "left_semi")
+    n, n_fg = rows.count(), mine.count()
+    fg = terms(mine).groupBy("term").agg(F.count("*").alias("fg")).filter(F.col("fg") >= min_doc_count)
+    bg = terms(rows).groupBy("term").agg(F.count("*").alias("bg"))
+    f, b = F.col("fg") / F.lit(max(n_fg, 1)), F.col("bg") / F.lit(max(n, 1))
+    return fg.join(bg, "term").filter(f > b).select("term", "fg", "bg", F.round((f - b) * (f / b), DIGITS).alias("score")).orderBy(F.desc("score"), "term").limit(size)
 
 
 def hash_sample(docs: DataFrame, key: str, size: int, seed: int = 1) -> DataFrame:

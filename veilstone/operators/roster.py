@@ -5,9 +5,16 @@ Only header columns are read; message texts are never touched.
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+from email.utils import getaddresses
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import written
+
 ADDRESS = r"[a-z0-9._%+\-]+@[a-z0-9.\-]+\.[a-z]{2,}"
 HEADERS = ("mail_id", "mail_from", "mail_to", "cc", "x_from", "x_to", "x_cc", "custodian", "ts")
 #: Upper ends of the message-count buckets (fixed values).
@@ -22,6 +29,38 @@ def addresses(field: Column, is_list: bool) -> Column:
     return F.coalesce(F.regexp_extract_all(F.lower(text), F.lit(f"({ADDRESS})"), 1), F.array().cast("array<string>"))
 
 
+def parse_addresses(value: str | list[str] | None) -> list[tuple[str, str]]:
+    """(display name, address) of a header by the rules of mail addresses. A list that was cut at
+    commas is joined again first; an address is in lower case; a name that only repeats its
+    address is ''. Where the rules find nothing, any address in the text counts, without a name."""
+    text = value if isinstance(value, str) else ", ".join(v for v in value or [] if v)
+    out = []
+    for name, address in getaddresses([text], strict=False):
+        address = address.strip().lower()
+        if "@" in address:
+            shown = " ".join(name.split()).strip("'\"")
+            out.append(("" if shown.lower() == address else shown, address))
+    return out or [("", a) for a in dict.fromkeys(re.findall(ADDRESS, text.lower()))]
+
+
+def address_entries(mail: DataFrame, key: str, fields: list[str]) -> DataFrame:
+    """(key, field, pos, name, address): parse_addresses of header fields, strings or lists, in
+    Arrow batches; pos counts from 1. Null and empty headers give no rows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            take, rows = [], []
+            for c, field in enumerate(fields, 1):
+                for i, value in enumerate(batch.column(c).to_pylist()):
+                    found = parse_addresses(value) if value else []
+                    take += [i] * len(found)
+                    rows += [(field, n, *entry) for n, entry in enumerate(found, 1)]
+            columns = [pa.array([r[k] for r in rows], kind) for k, kind in enumerate((pa.string(), pa.int32(), pa.string(), pa.string()))]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(take, pa.int64())), *columns], names=[key, "field", "pos", "name", "address"])
+
+    return mail.select(key, *fields).mapInArrow(run, f"{key} {mail.schema[key].dataType.simpleString()}, field string, pos int, name string, address string")
+
+
 def x_entries(header: Column) -> Column:
     """array<struct<name, login>> of a typed header's `name <distinguished name>` entries; the
     login is the last CN=, lower-cased, '' if there is none."""
@@ -59,8 +98,12 @@ def co_occurrence(people: DataFrame) -> DataFrame:
 
 def top_correspondents(people: DataFrame, top: int = 5) -> DataFrame:
     """(address, rank, other, messages): the `top` most frequent of each, ties by address."""
+    return _most(co_occurrence(people), top)
+
+
+def _most(edges: DataFrame, top: int) -> DataFrame:
     w = Window.partitionBy("address").orderBy(F.desc("messages"), "other")
-    return co_occurrence(people).withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= top).select("address", "rank", "other", "messages")
+    return edges.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= top).select("address", "rank", "other", "messages")
 
 
 def name_variants(people: DataFrame) -> DataFrame:
@@ -78,9 +121,9 @@ def entries(people: DataFrame, domain: str, top: int = 5) -> DataFrame:
     )
     names = name_variants(people).groupBy("address").agg(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("uses")).alias("u"), F.col("name")))), lambda x: x["name"]).alias("display_name_variants"))
     logins = people.filter("login <> ''").groupBy("address").agg(F.array_sort(F.collect_set("login")).alias("exchange_logins"))
-    edges = co_occurrence(people)
+    edges = written(co_occurrence(people), "edges")
     others = edges.groupBy("address").agg(F.count("*").alias("distinct_correspondents"))
-    best = top_correspondents(people, top).groupBy("address").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "other", "messages"))), lambda x: F.struct(x["other"].alias("address"), x["messages"].alias("messages"))).alias("top_correspondents"))
+    best = _most(edges, top).groupBy("address").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "other", "messages"))), lambda x: F.struct(x["other"].alias("address"), x["messages"].alias("messages"))).alias("top_correspondents"))
     none = F.array().cast("array<string>")
     return (
         counts.join(names, "address", "left").join(logins, "address", "left").join(others, "address", "left").join(best, "address", "left")

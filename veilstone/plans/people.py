@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 from ..functions import personal as pd_
 from ..functions import text as tx
 from ..operators import alias, captions, direct, roster, suitability
+from ..operators.dedupe import one_per_key
 from ..session import written
-from ..sources.tables import table
+from ..sources.tables import has_field, table
 from .registry import Registry
 from .search import LINE
 
@@ -21,7 +22,7 @@ FIELDS = ["mail_from", "mail_to"]
 
 
 def mail(spark: SparkSession, d: str, *columns: str) -> DataFrame:
-    return table(spark, d, "mail", "mail_id", *columns).distinct()
+    return one_per_key(table(spark, d, "mail", "mail_id", *columns), "mail_id", list(columns))
 
 
 _PHONES = r"list_filter(list_distinct(list_transform(regexp_extract_all(t, '(\+?\d[\d\s().\-]{7,}\d)', 1), lambda x: trim(x))), lambda x: length(regexp_replace(x, '[^0-9]', '', 'g')) >= 10)"
@@ -74,13 +75,13 @@ def direct_evaluations(spark: SparkSession, d: str) -> DataFrame:
 
 @R.add(f"""SELECT CAST(mail_id AS VARCHAR) AS doc_id, s > 0 OR h > 0 AS is_identifiable, CASE WHEN s > 0 OR h > 0 THEN 1.0e0 ELSE 0e0 END AS confidence_score, CAST(h AS INTEGER) AS hits FROM (SELECT DISTINCT mail_id, len({_EMAILS}) + len({_IPV4}) + len({_PHONES}) + CASE WHEN instr(lower(t), 'dravane') > 0 THEN 1 ELSE 0 END AS s,
  CASE WHEN contains(lower(mail_from), 'dravane') THEN 1 ELSE 0 END + CASE WHEN contains(lower(mail_from), 'quenby.dravane@halverton.example') THEN 1 ELSE 0 END + CASE WHEN len(list_filter(coalesce(mail_to, []), lambda x: contains(lower(x), 'dravane'))) > 0 THEN 1 ELSE 0 END + CASE WHEN len(list_filter(coalesce(mail_to, []), lambda x: contains(lower(x), 'quenby.dravane@halverton.example'))) > 0 THEN 1 ELSE 0 END AS h
- FROM (SELECT *, coalesce(message, '') AS t FROM mail) WHERE {_DIRECT})""".replace("> 0 THEN 1 ELSE 0 END AS s", "> 0 THEN 1 ELSE 0 END AS s"))
+ FROM (SELECT *, coalesce(message, '') AS t FROM mail) WHERE {_DIRECT})""")
 def direct_discover(spark, d):
     # the IPv6 shape needs look-around, which the comparing engine lacks; no mail holds one
     return direct_evaluations(spark, d).select("doc_id", "is_identifiable", "confidence_score", F.size("identifying_fields").alias("hits"))
 
 
-@R.add()
+@R.add("SELECT field, type, true AS searchable FROM (VALUES ('cc', 'array'), ('custodian', 'string'), ('mail_from', 'string'), ('mail_to', 'array'), ('subject', 'string'), ('x_cc', 'string'), ('x_from', 'string'), ('x_to', 'string')) v(field, type)")
 def naming_channel(spark, d):
     rows = direct.naming_fields(table(spark, d, "mail").schema, "message")
     return spark.createDataFrame(rows, "field string, type string, searchable boolean")
@@ -111,6 +112,48 @@ def participants(spark, d):
     return people(spark, d).select("mail_id", "role", "address")
 
 
+# names of typed headers stand at the same place as the addresses, if there are equally many
+_TIDY = r"trim(regexp_replace(trim({}), '^[\s,;''\"]+|[''\"\s]+$', '', 'g'))"
+_FLAT, _ENTRY = r"trim(regexp_replace({}, '\s+', ' ', 'g'))", "'([^<>]*)<([^<>]*)>'"
+
+
+def _side(role: str, addresses: str, typed: str) -> str:
+    found = rf"coalesce(regexp_extract_all(lower({addresses}), '([a-z0-9._%+\-]+@[a-z0-9.\-]+\.[a-z]{{2,}})', 1), [])"
+    x = _FLAT.format(typed)
+    return f"SELECT mail_id, ts, custodian, '{role}' AS role, {found} AS a, coalesce(regexp_extract_all({x}, {_ENTRY}, 1), []) AS n, coalesce(regexp_extract_all({x}, {_ENTRY}, 2), []) AS l FROM m"
+
+
+_NAMED = f"""WITH {_M}, sides AS ({" UNION ALL ".join((_side("from", "mail_from", "x_from"), _side("to", "array_to_string(mail_to, ', ')", "x_to"), _side("cc", "array_to_string(cc, ', ')", "x_cc")))}),
+pn AS (SELECT mail_id, ts, custodian, role, a[i] AS address, CASE WHEN len(a) = len(n) THEN {_TIDY.format("n[i]")} ELSE '' END AS name, CASE WHEN len(a) = len(l) THEN lower(regexp_extract(l[i], '(?i)CN=([^/=]+)$', 1)) ELSE '' END AS login FROM (SELECT *, unnest(range(1, len(a) + 1)) AS i FROM sides)),
+per AS (SELECT mail_id, address, any_value(ts) AS ts FROM pn GROUP BY 1, 2), cnt AS (SELECT address, count(*) AS message_count, min(ts) AS active_from, max(ts) AS active_to FROM per GROUP BY 1),
+uses AS (SELECT address, name, count(*) AS uses FROM pn WHERE name <> '' GROUP BY 1, 2), nm AS (SELECT address, list(name ORDER BY uses DESC, name) AS names FROM uses GROUP BY 1),
+lg AS (SELECT address, list_sort(list(DISTINCT login)) AS logins FROM pn WHERE login <> '' GROUP BY 1),
+ro AS (SELECT cnt.*, coalesce(names, []) AS names, coalesce(logins, []) AS logins FROM cnt LEFT JOIN nm USING (address) LEFT JOIN lg USING (address))"""
+_USABLE = "len(names) > 0 AND active_from IS NOT NULL AND active_to IS NOT NULL AND message_count >= 20"
+
+
+@R.add(f"{_NAMED} SELECT mail_id, role, address, name, login, count(*) AS times FROM pn GROUP BY ALL")
+def participant_names(spark, d):
+    return people(spark, d).groupBy("mail_id", "role", "address", "name", "login").agg(F.count("*").alias("times"))
+
+
+@R.add(f"{_NAMED} SELECT address, array_to_string(names, '|') AS names, array_to_string(logins, '|') AS logins FROM ro")
+def roster_names(spark, d):
+    return entries(spark, d).select("address", F.array_join("display_name_variants", "|").alias("names"), F.array_join("exchange_logins", "|").alias("logins"))
+
+
+@R.add()
+def header_addresses(spark, d):
+    """Display names and addresses of From, To and Cc by the rules of mail addresses."""
+    return roster.address_entries(mail(spark, d, "mail_from", "mail_to", "cc"), "mail_id", ["mail_from", "mail_to", "cc"])
+
+
+@R.add("SELECT path, found FROM (VALUES ('message', true), ('mail_to', true), ('embedding', false), ('mail_from.name', false)) v(path, found)")
+def schema_fields(spark, d):
+    schema = table(spark, d, "mail").schema
+    return spark.createDataFrame([(p, has_field(schema, p)) for p in ("message", "mail_to", "embedding", "mail_from.name")], "path string, found boolean")
+
+
 @R.add(f"{_WITH}, {_PER} SELECT address, count(*) AS message_count, CAST(sum(sent) AS BIGINT) AS sent_count, CAST(sum(1 - sent) AS BIGINT) AS received_count, min(ts) AS active_from, max(ts) AS active_to, array_to_string(list_sort(list_distinct(list(custodian))), ',') AS custodians, ends_with(address, '@{DOMAIN}') AS internal FROM q GROUP BY 1")
 def roster_entries(spark, d):
     return entries(spark, d).select("address", "message_count", "sent_count", "received_count", "active_from", "active_to", F.array_join("custodians", ",").alias("custodians"), "internal")
@@ -145,27 +188,50 @@ def roster_coverage(spark, d):
     return roster.coverage(entries(spark, d), 0).select("people", "internal", "least", "most", "mean")
 
 
-@R.add()
+@R.add(f"{_NAMED} SELECT count(*) AS usable, CASE WHEN count(*) >= 5 THEN 'go' ELSE 'no_go' END AS decision FROM ro WHERE {_USABLE}")
 def roster_decision(spark, d):
     return roster.go_no_go(roster.coverage(entries(spark, d), 0))
 
 
-@R.add()
+@R.add(f"{_NAMED} SELECT count(*) AS people, count(*) FILTER (len(names) > 0) AS named, count(*) FILTER (len(logins) > 0) AS with_login, count(*) FILTER ({_USABLE}) AS usable, round(100e0 * count(*) FILTER (len(names) > 0) / count(*), 1) AS named_percent, round(100e0 * count(*) FILTER (len(logins) > 0) / count(*), 1) AS login_percent FROM ro")
+def roster_shares(spark, d):
+    return roster.coverage(entries(spark, d), 0).select("people", "named", "with_login", "usable", "named_percent", "login_percent")
+
+
+@R.add(f"{_NAMED} SELECT address, message_count, array_to_string(names, '|') AS names FROM ro WHERE {_USABLE}")
 def usable_subjects(spark, d):
     return roster.usable(entries(spark, d)).select("address", "message_count", F.array_join("display_name_variants", "|").alias("names"))
 
 
-@R.add()
+def _name_forms_sql(source: str, columns: str) -> str:
+    """SQL of (columns, forms): the forms of every `name` of source."""
+    clean = lambda c: f"regexp_replace(trim(regexp_replace({c}, '[\\s\\x0B\\x85\\p{{Z}}]+', ' ', 'g')), '^[''\"]+|[''\"]+$', '', 'g')"
+    more = "CASE WHEN len(w) > 1 THEN [w[1] || ' ' || w[-1], w[1][1] || ' ' || w[-1], w[1][1] || '. ' || w[-1], array_to_string(list_transform(w, lambda x: x[1]), ''), array_to_string(list_transform(w, lambda x: x[1]), '.') || '.'] ELSE [] END"
+    return f"""SELECT {columns}, CASE WHEN v <> '' AND len(w) > 0 THEN list_sort(list_distinct(list_filter([v, turned, w[1], w[-1]] || {more}, lambda x: x IS NOT NULL))) ELSE [] END AS forms FROM (
+SELECT *, list_filter(string_split_regex(coalesce(turned, replace(v, ',', ' ')), ' +'), lambda x: x <> '') AS w FROM (SELECT *, CASE WHEN b <> '' AND a <> '' THEN a || ' ' || b END AS turned FROM (
+SELECT *, {clean("regexp_extract(v, '^([^,]*),(.*)$', 1)")} AS b, {clean("regexp_extract(v, '^([^,]*),(.*)$', 2)")} AS a FROM (SELECT *, {clean("name")} AS v FROM {source}))))"""
+
+
+_LOGIN_FORMS = "list_distinct([l] || CASE WHEN len(w) >= 2 THEN [w[1] || '.' || w[-1], w[1] || '_' || w[-1], w[1] || w[-1], w[1][1] || w[-1], w[-1] || w[1][1]] ELSE [] END)"
+_FORMS = f"""{_NAMED}, fm AS (SELECT DISTINCT address, variant, kind FROM (
+SELECT address, unnest(forms) AS variant, 'name' AS kind FROM ({_name_forms_sql("(SELECT address, unnest(names) AS name FROM ro)", "address")}) UNION ALL
+SELECT address, unnest(logins || {_LOGIN_FORMS}), 'login' FROM (SELECT address, logins, split_part(address, '@', 1) AS l, list_filter(string_split_regex(split_part(address, '@', 1), '[._-]+'), lambda x: x <> '') AS w FROM ro)) WHERE length(variant) >= 3),
+nn AS (SELECT address, lower(regexp_replace(trim(regexp_replace(name, '[\\s\\x0B\\x85\\p{{Z}}]+', ' ', 'g')), '^[''"]+|[''"]+$', '', 'g')) AS name FROM (SELECT address, unnest(names) AS name FROM ro)),
+me AS (SELECT '{SUBJECT}' AS address UNION SELECT address FROM nn WHERE name <> '' AND name IN (SELECT name FROM nn WHERE address = '{SUBJECT}' AND name <> ''))"""
+
+
+@R.add(f"{_FORMS} SELECT lower(variant) AS variant, array_to_string(list_sort(list(DISTINCT address)), '|') AS owners, CAST(count(DISTINCT address) AS INTEGER) AS n FROM fm GROUP BY 1")
 def variant_owners(spark, d):
     return alias.variant_owners(alias.entry_forms(entries(spark, d))).select("variant", F.array_join("owners", "|").alias("owners"), "n")
 
 
-@R.add()
+@R.add(f"""{_FORMS}, own AS (SELECT variant, kind FROM fm WHERE address IN (SELECT address FROM me) UNION ALL SELECT address, 'address' FROM me)
+SELECT variant, min(kind) AS kind, lower(variant) NOT IN (SELECT lower(variant) FROM fm WHERE address NOT IN (SELECT address FROM me)) AS is_label FROM own GROUP BY variant""")
 def alias_set(spark, d):
     return alias.alias_set(entries(spark, d), SUBJECT)
 
 
-@R.add()
+@R.add(f"{_FORMS} SELECT address FROM me")
 def related_addresses(spark, d):
     return alias.related_addresses(entries(spark, d), SUBJECT)
 
@@ -176,7 +242,7 @@ def login_forms(spark, d):
     return mail(spark, d, "mail_from").select(F.explode(roster.addresses(F.col("mail_from"), False)).alias("address")).distinct().select("address", F.array_join(alias.login_forms(F.col("address")), "|").alias("forms"))
 
 
-@R.add()
+@R.add("SELECT name, array_to_string(forms, '|') AS forms FROM (" + _name_forms_sql(rf"(SELECT DISTINCT name FROM (SELECT {_TIDY.format('unnest(names)')} AS name FROM (SELECT regexp_extract_all({_FLAT.format('x_to')}, {_ENTRY}, 1) AS names FROM mail WHERE x_to IS NOT NULL)) WHERE name <> '')", "name") + ")")
 def name_forms(spark, d):
     names = mail(spark, d, "x_to").select(F.explode(roster.x_entries(F.col("x_to"))).alias("e")).select("e.name").filter("name <> ''").distinct()
     return names.select("name", F.array_join(alias.name_forms(F.col("name")), "|").alias("forms"))
@@ -219,20 +285,31 @@ _LOGS = "(SELECT DISTINCT log_id AS id, message AS t FROM logs)"
 
 @R.add(f"WITH {_spans_sql(_LOGS)} SELECT id AS log_id, CAST(start AS INTEGER) AS start, CAST(stop AS INTEGER) AS stop, phrase, listed FROM z")
 def references(spark, d):
-    return suitability.references(table(spark, d, "logs", "log_id", "message").distinct(), "log_id", "message")
+    return suitability.references(one_per_key(table(spark, d, "logs", "log_id", "message"), "log_id", ["message"]), "log_id", "message")
 
 
 @R.add(f"WITH {_spans_sql(_LOGS)} SELECT count(*) AS scanned, count(*) FILTER (p + l > 0) AS describing, count(*) FILTER (p > 0) AS prose_docs, CAST(sum(p) AS BIGINT) AS prose, CAST(sum(l) AS BIGINT) AS listed, round(sum(p + l) / count(*), 6) AS density, round(sum(p) / sum(p + l), 6) AS prose_share, CASE WHEN sum(p + l) / count(*) >= 1.0 THEN 'rich' WHEN sum(p + l) / count(*) < 0.05 THEN 'absent' ELSE 'sparse' END AS band FROM (SELECT r.id, count(z.id) FILTER (NOT z.listed) AS p, count(z.id) FILTER (z.listed) AS l FROM {_LOGS} r LEFT JOIN z ON z.id = r.id WHERE trim(r.t) <> '' GROUP BY 1)")
 def assess(spark, d):
-    return suitability.assess(table(spark, d, "logs", "log_id", "message").distinct(), "log_id", "message").drop("reasons")
+    return suitability.assess(one_per_key(table(spark, d, "logs", "log_id", "message"), "log_id", ["message"]), "log_id", "message").drop("reasons")
 
 
 @R.add(f"WITH {_spans_sql('(SELECT DISTINCT opinion_id AS id, message AS t FROM opinions)')} SELECT lower(phrase) AS phrase, count(*) AS uses FROM z GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 10")
 def top_phrases(spark, d):
-    return suitability.phrases(table(spark, d, "opinions", "opinion_id", "message").distinct(), "opinion_id", "message")
+    return suitability.phrases(one_per_key(table(spark, d, "opinions", "opinion_id", "message"), "opinion_id", ["message"]), "opinion_id", "message")
 
 
-@R.add()
+def _mentions_sql(surname: str, house: str) -> str:
+    """SQL of (mail_id, descriptive, listed): mentions told apart by the 120 characters on either side."""
+    heads = f"(?i)(?:From:|To:|Cc:|Sent:|Subject:|-----Original Message-----|Forwarded by|DL-|@{house}|/{house})"
+    return f"""s AS (SELECT mail_id, t, regexp_extract_all(t, '(?i)({surname})', 1) AS h, string_split_regex(t, '(?i)(?:{surname})') AS g FROM (SELECT mail_id, any_value(message) AS t FROM mail GROUP BY mail_id) WHERE t IS NOT NULL),
+u AS (SELECT mail_id, t, h, g, unnest(range(1, len(h) + 1)) AS i FROM s WHERE len(h) > 0),
+v AS (SELECT mail_id, t, CAST(list_sum(list_transform(g[1:i], lambda x: length(x))) + length(h[1]) * (i - 1) AS BIGINT) AS a, length(h[i]) AS n FROM u),
+w AS (SELECT mail_id, substring(t, greatest(1, a - 119), a + n + 120 - greatest(0, a - 120)) AS win FROM v),
+z AS (SELECT mail_id, len(regexp_extract_all(win, '[A-Z][A-Za-z.''\\-]+,\\s+[A-Z][A-Za-z.''\\-]+')) >= 3 OR length(win) - length(replace(win, ';', '')) >= 3 OR regexp_matches(win, '{heads}') AS listed FROM w),
+mt AS (SELECT mail_id, CAST(count(*) FILTER (NOT listed) AS INTEGER) AS descriptive, CAST(count(*) FILTER (listed) AS INTEGER) AS listed FROM z GROUP BY mail_id)"""
+
+
+@R.add(f"WITH {_mentions_sql('Dravane', HOUSE)} SELECT mail_id, descriptive, listed FROM mt")
 def mentions(spark, d):
     return suitability.mentions(mail(spark, d, "message"), "mail_id", "message", "Dravane", HOUSE)
 
@@ -251,5 +328,5 @@ def subject_profile(spark, d):
 def rank_subjects(spark, d):
     names = all_captions(spark, d)
     subjects = captions.caption_parties(names, "cluster_id", "caption").filter("surname <> ''").select("surname").distinct()
-    opinions = table(spark, d, "opinions", "opinion_id", "message").distinct()
+    opinions = one_per_key(table(spark, d, "opinions", "opinion_id", "message"), "opinion_id", ["message"])
     return suitability.rank_subjects(opinions, "opinion_id", "message", subjects, HOUSE)

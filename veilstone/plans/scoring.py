@@ -5,12 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import metrics, retrieval
+from ..operators import judge, metrics, retrieval
+from ..operators.dedupe import one_per_key
 from ..session import written
+from ..sources import synthetic
 from ..sources.tables import table
 from .erasure import _EV, evaluations
+from .people import HOUSE, _mentions_sql
 from .registry import Registry
-from .search import LEX, WORDS, bm25_sql, top_sql
+from .search import _UNIQUE, LEX, WORDS, bm25_sql, top_sql
 
 R = Registry()
 _DIGITS = "('0','2','4','6','8','a','c','e')"
@@ -95,13 +98,13 @@ def over_redaction(spark, d):
 @R.add(f"SELECT term, fg, bg FROM (SELECT term, fg, bg FROM (WITH d AS (SELECT doc_id, list_distinct(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_]+')) AS t, doc_kind = 'request' AS f FROM documents), s AS (SELECT count(*) AS n, count(*) FILTER (f) AS nf FROM d), x AS (SELECT term, count(*) FILTER (f) AS fg, count(*) AS bg FROM (SELECT f, unnest(t) AS term FROM d) GROUP BY term) SELECT term, fg, bg, round((fg / nf - bg / n) * ((fg / nf) / (bg / n)), 6) AS score FROM x, s WHERE fg >= 3 AND fg / nf > bg / n ORDER BY score DESC, term LIMIT 60)) WHERE length(term) >= 3 AND NOT regexp_matches(term, '^[\\d.,]+$') AND lower(term) NOT IN ('data subject', 'data', 'subject')")
 def usable_terms(spark, d):
     docs = table(spark, d, "documents", "doc_id", "text", "doc_kind")
-    terms = retrieval.significant_terms(docs, docs.filter("doc_kind = 'request'"), "doc_id", "text", 60)
+    terms = retrieval.significant_terms(docs, docs.filter("doc_kind = 'request'"), "doc_id", "text", 60, drop_duplicates=False)
     return metrics.usable_terms(terms, ["Data Subject"]).select("term", "fg", "bg")
 
 
 def subject_ranks(spark: SparkSession, d: str) -> DataFrame:
     """For every opinion cut into halves: terms of half a search for half b, all subjects at once."""
-    halves = table(spark, d, "opinions", "opinion_id", "subject_id", "half", "message").distinct().filter("half in ('a', 'b') and subject_id is not null and message is not null")
+    halves = one_per_key(table(spark, d, "opinions", "opinion_id", "subject_id", "half", "message"), "opinion_id", ["subject_id", "half", "message"]).filter("half in ('a', 'b') and subject_id is not null and message is not null")
     halves = written(halves.select(F.concat_ws(":", "subject_id", "half", F.col("opinion_id").cast("string")).alias("doc_id"), "subject_id", "half", "message"), "halves")
     queries = metrics.subject_terms(halves.filter("half = 'a'"), "subject_id", "doc_id", "message").withColumnRenamed("subject", "query")
     scored = retrieval.bm25_many(halves, written(queries, "queries"), "doc_id", "message")
@@ -114,16 +117,71 @@ def subject_ranks(spark: SparkSession, d: str) -> DataFrame:
     return metrics.target_ranks(ranked, targets)
 
 
-@R.add()
+_HALVES = r"""hv AS (SELECT DISTINCT subject_id || ':' || half || ':' || opinion_id AS id, subject_id, half, message FROM opinions WHERE half IN ('a', 'b') AND subject_id IS NOT NULL AND message IS NOT NULL),
+tk AS MATERIALIZED (SELECT id, subject_id, half, len(t) AS dl, t FROM (SELECT *, regexp_extract_all(lower(message), '[\p{L}\p{N}_]+') AS t FROM hv)), ut AS MATERIALIZED (SELECT id, subject_id, half, dl, unnest(t) AS term FROM tk),
+qa AS (SELECT * FROM ut WHERE half = 'a' AND length(term) >= 4 AND NOT regexp_full_match(term, '\d+')), qd AS (SELECT term, count(DISTINCT id) AS df FROM qa GROUP BY term HAVING count(DISTINCT id) >= 2),
+qs AS (SELECT subject_id, term, round(count(*) * ln((SELECT count(*) FROM hv WHERE half = 'a')::DOUBLE / any_value(df)), 6) AS score FROM qa JOIN qd USING (term) GROUP BY 1, 2),
+q AS MATERIALIZED (SELECT subject_id AS query, term FROM (SELECT *, row_number() OVER (PARTITION BY subject_id ORDER BY score DESC, term) AS r FROM qs) WHERE r <= 20),
+st AS (SELECT count(*) AS n, avg(dl) AS avgdl FROM tk), ix AS MATERIALIZED (SELECT term, id, dl, count(*) AS tf FROM ut WHERE term IN (SELECT term FROM q) GROUP BY ALL), fd AS (SELECT term, count(*) AS df FROM ix GROUP BY term),
+sc AS (SELECT query, id, round(sum(ln(1 + (n - df + 0.5e0) / (df + 0.5e0)) * tf * 2.2e0 / (tf + 1.2e0 * (0.25e0 + 0.75e0 * dl / avgdl))), 6) AS score FROM q JOIN fd USING (term) JOIN ix USING (term), st GROUP BY 1, 2),
+rk AS (SELECT query, id, row_number() OVER (PARTITION BY query ORDER BY score DESC, id) AS rank FROM sc WHERE (query, id) NOT IN (SELECT (subject_id, id) FROM hv WHERE half = 'a')),
+tr AS (SELECT t.subject_id AS subject, min(rank) AS rank FROM (SELECT subject_id, id FROM hv WHERE half = 'b' AND subject_id IN (SELECT query FROM q)) t LEFT JOIN rk ON rk.query = t.subject_id AND rk.id = t.id GROUP BY 1)"""
+
+
+@R.add(f"WITH {_HALVES} SELECT CAST(k AS INTEGER) AS k, count(*) FILTER (rank <= k) AS hits, count(*) AS of, round(100e0 * count(*) FILTER (rank <= k) / count(*), 1) AS percent FROM tr, (VALUES (1), (5), (10), (25), (50)) v(k) GROUP BY k")
 def score_corpus_hit_rate(spark, d):
     return metrics.hit_rate_at_k(subject_ranks(spark, d), [1, 5, 10, 25, 50])
 
 
-@R.add()
+@R.add(f"WITH {_HALVES} SELECT count(*) AS trials, round(avg(coalesce(1e0 / rank, 0)), 4) AS mrr FROM tr")
 def score_corpus_mrr(spark, d):
     return metrics.mean_reciprocal_rank(subject_ranks(spark, d))
 
 
+def labelled(spark: SparkSession, d: str) -> DataFrame:
+    """(doc_id, class): the kind of a document stands for its class."""
+    kinds = F.when(F.col("doc_kind") == "request", "subject").when(F.col("doc_kind") == "mail", "direct").otherwise("noise")
+    return table(spark, d, "documents", "doc_id", "doc_kind").select("doc_id", kinds.alias("class"))
+
+
+@R.add("SELECT doc_id FROM documents WHERE doc_kind IN ('request', 'mail')")
+def demo_positives(spark, d):
+    return metrics.demo_positives(labelled(spark, d))
+
+
+@R.add("SELECT CASE doc_kind WHEN 'request' THEN 'subject' WHEN 'mail' THEN 'direct' ELSE 'noise' END AS class, count(*) AS documents FROM documents GROUP BY 1")
+def ground_truth(spark, d):
+    return synthetic.ground_truth(labelled(spark, d))
+
+
+_FIVE = "t[1]", "t[2]", "t[3]", "t[4]", "t[5]"
+
+
+@R.add(f"WITH {_UNIQUE}, l AS (SELECT list(term ORDER BY score DESC, term) AS t FROM sig WHERE length(term) >= 3 AND NOT regexp_matches(term, '^[\\d.,]+$')) " + " UNION ALL ".join(
+    f"SELECT {i} AS wording, '" + w.format(*(f"' || {x} || '" for x in _FIVE)) + "' AS profile, array_to_string(t[1:8], ' ') AS keywords FROM l" for i, w in enumerate(metrics.WORDINGS)))
+def profiles(spark, d):
+    docs = table(spark, d, "documents", "doc_id", "text", "doc_kind")
+    terms = metrics.usable_terms(retrieval.significant_terms(docs, docs.filter("doc_kind = 'request'"), "doc_id", "text"), [])
+    built = metrics.build_profiles([r.term for r in terms.orderBy(F.desc("score"), "term").collect()])  # at most 30 terms
+    return spark.createDataFrame([(i, p["profile"], p["keywords"]) for i, p in enumerate(built)], "wording int, profile string, keywords string")
+
+
+@R.add(f"""WITH {_mentions_sql('Dravane', HOUSE)}, ps AS (SELECT mail_id, any_value(message) AS t FROM mail GROUP BY mail_id HAVING contains(lower(any_value(message)), 'dravane'))
+SELECT kind, count(*) AS positives, count(DISTINCT digest) AS texts FROM (SELECT CASE WHEN descriptive > 0 THEN 'descriptive' ELSE 'list_only' END AS kind, CASE WHEN descriptive > 0 THEN sha1(substring(trim(regexp_replace(t, '[\\s\\x0B\\x85\\p{{Z}}]+', ' ', 'g')), 1, 300)) END AS digest FROM ps LEFT JOIN mt USING (mail_id)) GROUP BY kind""")
+def descriptive_split(spark, d):
+    mails = one_per_key(table(spark, d, "mail", "mail_id", "message"), "mail_id", ["message"])
+    found = mails.filter(F.contains(F.lower("message"), F.lit("dravane"))).select(F.col("mail_id").alias("doc_id"))
+    split = metrics.descriptive_split(found, mails, "Dravane", HOUSE, "mail_id", "message")
+    return split.groupBy("kind").agg(F.count("*").alias("positives"), F.countDistinct("digest").alias("texts"))
+
+
+@R.add(f"SELECT * FROM (VALUES {', '.join(repr((m, v)) for m, v in judge.MODES.items())}) v(mode, threshold)")
+def report_basis(spark, d):
+    """The thresholds a report rests on, out of its record."""
+    basis = metrics.report_basis({"subject": "x", "masked_index": "m"}, list(metrics.KS), [])
+    return spark.createDataFrame(sorted(basis["thresholds"].items()), "mode string, threshold double")
+
+
 @R.add()
 def compare_modes(spark, d):
     vectors = table(spark, d, "embeddings")

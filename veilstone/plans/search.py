@@ -95,6 +95,20 @@ def project_candidates(spark, d):
 s AS (SELECT count(*) AS n, count(*) FILTER (f) AS nf FROM d), x AS (SELECT term, count(*) FILTER (f) AS fg, count(*) AS bg FROM (SELECT f, unnest(t) AS term FROM d) GROUP BY term)
 SELECT term, fg, bg, round((fg / nf - bg / n) * ((fg / nf) / (bg / n)), 6) AS score FROM x, s WHERE fg >= 3 AND fg / nf > bg / n ORDER BY score DESC, term LIMIT 30""")
 def significant_terms(spark, d):
+    all_docs = table(spark, d, "documents", "doc_id", "text", "doc_kind")
+    return retrieval.significant_terms(all_docs, all_docs.filter("doc_kind = 'request'"), "doc_id", "text", drop_duplicates=False)
+
+
+_DIGEST = r"sha1(substring(trim(regexp_replace(text, '[\s\x0B\x85\p{Z}]+', ' ', 'g')), 1, 300))"
+_UNIQUE = f"""u AS (SELECT doc_id, text, doc_kind FROM (SELECT *, row_number() OVER (PARTITION BY {_DIGEST} ORDER BY CASE WHEN doc_kind = 'request' THEN 0 ELSE 1 END, doc_id) AS nth FROM documents) WHERE nth = 1),
+d AS (SELECT doc_id, list_distinct(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_]+')) AS t, coalesce(doc_kind = 'request', false) AS f FROM u),
+s AS (SELECT count(*) AS n, count(*) FILTER (f) AS nf FROM d), x AS (SELECT term, count(*) FILTER (f) AS fg, count(*) AS bg FROM (SELECT f, unnest(t) AS term FROM d) GROUP BY term),
+sig AS (SELECT term, fg, bg, round((fg / nf - bg / n) * ((fg / nf) / (bg / n)), 6) AS score FROM x, s WHERE fg >= 3 AND fg / nf > bg / n ORDER BY score DESC, term LIMIT 30)"""
+
+
+@R.add(f"WITH {_UNIQUE} SELECT term, fg, bg, score FROM sig")
+def significant_terms_unique(spark, d):
+    """Near-duplicate texts counted once, as the operator does by default."""
     all_docs = table(spark, d, "documents", "doc_id", "text", "doc_kind")
     return retrieval.significant_terms(all_docs, all_docs.filter("doc_kind = 'request'"), "doc_id", "text")
 
