@@ -36,11 +36,13 @@ def joint_counts(records: DataFrame, key: str, text: str = "message", min_letter
 
 
 def term_scores(records: DataFrame, key: str, text: str = "message", min_letters: int = MIN_LETTERS, smoothing: float = SMOOTHING,
-                min_tf: int = 1, max_df: int | None = None) -> DataFrame:
+                min_tf: int = 1, max_df: int | None = None, least: float = 0.0) -> DataFrame:
     """(key, term, tf, df, ppmi) for the terms of every record; records are rows.
 
     min_tf and max_df keep terms that are frequent in their record or rare in the table;
-    they filter the two sides of the join, and every count still covers all records.
+    they filter the two sides of the join, and every count still covers all records. `least`
+    is the least score; 0 keeps every term, as no score is below it. The joint counts are
+    shuffled once: marginals, joint side and total all read that one exchange.
     Null, empty and wordless texts give no rows; give one row per record (one_per_key)
     where a table holds repeated rows. Rows with a null key are told apart by their number
     of terms only. Other columns are ignored.
@@ -51,4 +53,5 @@ def term_scores(records: DataFrame, key: str, text: str = "message", min_letters
     z = joint.agg(F.sum(F.col("tf") * F.pow(F.col("n_r").cast("double"), F.lit(smoothing - 1))).alias("z")).scalar()
     wanted = marginals.filter(F.col("df") <= max_df) if max_df is not None else marginals
     pmi = F.log(F.col("tf") * z / (F.col("n_t") * F.pow(F.col("n_r").cast("double"), F.lit(smoothing))))
-    return joint.filter(F.col("tf") >= min_tf).join(wanted, "term").select(key, "term", "tf", "df", F.greatest(pmi, F.lit(0.0)).alias("ppmi"))
+    scored = joint.filter(F.col("tf") >= min_tf).join(wanted, "term").select(key, "term", "tf", "df", F.greatest(pmi, F.lit(0.0)).alias("ppmi"))
+    return scored.filter(F.col("ppmi") >= least)
