@@ -19,6 +19,8 @@ import re
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import written
+
 #: Exponent that smooths the context counts, and the shortest term.
 SMOOTHING, MIN_LETTERS = 0.75, 4
 
@@ -42,12 +44,12 @@ def term_scores(records: DataFrame, key: str, text: str = "message", min_letters
     min_tf and max_df keep terms that are frequent in their record or rare in the table;
     they filter the two sides of the join, and every count still covers all records. `least`
     is the least score; 0 keeps every term, as no score is below it. The joint counts are
-    shuffled once: marginals, joint side and total all read that one exchange.
+    written once; marginals, joint side and total read them, each the columns it needs.
     Null, empty and wordless texts give no rows; give one row per record (one_per_key)
     where a table holds repeated rows. Rows with a null key are told apart by their number
     of terms only. Other columns are ignored.
     """
-    joint = joint_counts(records, key, text, min_letters)
+    joint = written(joint_counts(records, key, text, min_letters), "joint")
     marginals = joint.groupBy("term").agg(F.sum("tf").alias("n_t"), F.count("*").alias("df"))
     # sum of n_r ** a over records: every record adds tf / n_r of it with each of its terms
     z = joint.agg(F.sum(F.col("tf") * F.pow(F.col("n_r").cast("double"), F.lit(smoothing - 1))).alias("z")).scalar()
