@@ -58,6 +58,45 @@ def test_ancestor_is_chosen_by_exact_counts(spark):
     assert got == {0: texts[1], 200: texts[90]}
 
 
+ORIGINAL = "The second storage report for the northern line was filed on Monday by the desk and nobody has signed the corrected copy so far. Please send the missing readings to the terminal before the audit of the southern meters starts."
+
+
+def test_spans_of_the_ancestor_are_removed(spark):
+    one, two = ORIGINAL.split(". ")
+    head = "On Tue, Jul 13, 1999 at 2:38, Bob Lee <bob.lee@x.example> wrote:"
+    # one quoted line has lost its mark, with line breaks and without
+    in_lines = f"Fine with me.\n{head}\n> {one[:60]}\n> {one[60:]}.\n{two}\nI will do it.\n> Bob"
+    in_flow = f"Fine with me. {head} > {one[:59].strip()} > {one[59:118].strip()} > {one[118:].strip()}. {two} I will do it. > Bob"
+    rows = [(1, ORIGINAL, "Bob Lee <bob.lee@x.example>"), (2, in_lines, "Ann Hill <ann.hill@x.example>"), (3, in_flow, "Ann Hill <ann.hill@x.example>"), (4, None, None)]
+    df = spark.createDataFrame([(k, t, None, s, s) for k, t, s in rows], "mail_id long, message string, subject string, mail_from string, x_from string")
+    got = {r.mail_id: r.new_text for r in fresh.newly_written(df, "mail_id").collect()}
+    assert got[2] == got[3] == "Fine with me. I will do it." and got[1] == ORIGINAL
+    # without the ancestor nothing tells the line from an answer
+    alone = {r.mail_id: r.new_text for r in fresh.newly_written(df.filter("mail_id <> 1 and mail_id <> 3"), "mail_id").collect()}
+    assert alone == {2: f"Fine with me. {two} I will do it."}
+    # what an ancestor only quotes itself is no source
+    nested = f"Hello. {head} > {two} > Bob"
+    assert fresh.without_quoted(two, nested) == two and fresh.without_quoted(f"Yes. {two} Done.", two).split() == ["Yes.", "Done."]
+
+
+def test_long_notices_and_signatures_are_removed(spark):
+    import random
+
+    rng = random.Random(3)
+    words = ["".join(rng.choice("abcdefghijklmnoprstu") for _ in range(rng.randint(3, 9))) for _ in range(4000)]
+    notice = "NOTICE: " + " ".join(words[:330])
+    assert len(notice) > 1800
+    rows = [(k, f"The report number {k} on {' '.join(words[400 + 40 * k : 430 + 40 * k])} is done.\n\n{notice}") for k in range(1, 60)]
+    df = spark.createDataFrame([(k, t, None, "ann.hill@x.example", None) for k, t in rows], "mail_id long, message string, subject string, mail_from string, x_from string")
+    got = {r.mail_id: r.new_text for r in fresh.newly_written(df, "mail_id").collect()}
+    assert all(got[k] == t.split("\n")[0] for k, t in rows)
+    block = "Ann Hill\nDirector\n" + "\n".join(f"Office {i}: +1 303 555 {i:04d}" for i in range(40))
+    assert len(block) > 900
+    sender = fresh.Sender("ann.hill@x.example", "Ann Hill")
+    text = f"All is signed now, we can go on with it.\n\n{block}"
+    assert text[: fresh.signature_start(text, sender, len(text))].strip() == "All is signed now, we can go on with it."
+
+
 # -- personal values
 
 PATTERNS = personal.Patterns(given=frozenset({"anna", "bob", "lars"}), surnames=frozenset({"hill", "gaskano"}), cities=frozenset({"millbeck"}))
