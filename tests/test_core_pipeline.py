@@ -378,3 +378,56 @@ def test_duplicates_count_once_in_significant_terms(spark):
     every = {r.term: (r.fg, r.bg) for r in retrieval.significant_terms(df, fg, "k", "t", drop_duplicates=False).collect()}
     assert every == {"zeta": (3, 5)}
     assert retrieval.significant_terms(df.filter("false"), fg, "k", "t").count() == 0
+
+
+def test_two_writers_never_fork_the_chain(spark, tmp_path):
+    import threading
+
+    threads = [threading.Thread(target=audit.write_certificate, args=(audit.build_record("redact", [{"index": "m", "doc_id": str(i)}], "#!/bin/sh"), tmp_path)) for i in range(8)]
+    [t.start() for t in threads]
+    [t.join() for t in threads]
+    files = sorted(p.name for p in tmp_path.iterdir())
+    assert files == [f"erasure-{i:08d}.json" for i in range(8)]
+    entries = [json.loads((tmp_path / f).read_text())["chain"] for f in files]
+    assert [e["prev_hash"] for e in entries] == [audit.GENESIS, *(e["entry_hash"] for e in entries[:-1])]
+
+
+def test_names_of_roster_entries(spark):
+    df = frame(spark, [(["Ann"], ), (["Ann", "Hill,  Ann B"], ), (["Ann B Hill"], ), (["Hill,"], ), ([], )], "n array<string>")
+    got = [(r.s, r.g) for r in df.select(roster.surname(F.col("n")).alias("s"), roster.given_name(F.col("n")).alias("g")).collect()]
+    assert got == [("", ""), ("Hill", "Ann"), ("Hill", "Ann"), ("Hill", ""), ("", "")]
+
+
+def test_labelled_demo_documents(spark):
+    docs, key = synthetic.with_noise(spark, 20)
+    assert docs.count() == 20 + key.count() and docs.select("_id").distinct().count() == docs.count()
+    assert {r["class"]: r.documents for r in synthetic.ground_truth(key).collect()} == {"subject": 3, "direct": 2, "decoy": 4}
+    assert key.filter("class = 'decoy'").select("decoy_category").distinct().count() == 4
+    assert metrics.demo_positives(key).join(docs.withColumnRenamed("_id", "doc_id"), "doc_id").count() == 5
+
+
+def test_stages_can_be_forgotten(spark):
+    import os
+
+    from veilstone import session
+
+    session.forget_stages(spark)
+    kept = session.written(spark.range(3))
+    assert kept.count() == 3
+    path = session._STAGES[-1].removeprefix("file://")
+    assert os.path.exists(path) and session.forget_stages(spark) == 1 and not os.path.exists(path)
+
+
+def test_counts_by_window(spark):
+    df = frame(spark, [("2026-01-01 00:01:00", "email"), ("2026-01-01 00:04:00", "email"), ("2026-01-01 00:06:00", "phone")], "ts string, kind string").withColumn("ts", F.col("ts").cast("timestamp"))
+    assert sorted((r.kind, r.n) for r in scan.counts_by_window(df, "ts").collect()) == [("email", 2), ("phone", 1)]
+
+
+def test_only_the_dictionary_keeps_some_values_whole(spark):
+    # a firm whose name holds a comma looks like two values, unless it is known from a quoted entry elsewhere
+    rows = [(1, None, '"Hall, Moss and Lee" <desk@x.example>'), (2, None, "Hall, Moss and Lee, Zed Corp"), (3, None, 'Anna Hill; "Roe; Doe (HOU)" <r@x.example>'), (4, None, "Roe; Doe (HOU); Bob Lee"), (5, None, None)]
+    df = frame(spark, rows, "k long, to array<string>, x string")
+    pairs = lambda **m: sorted((r.k, r.pos, r.name or r.address) for r in packed.unpack(df, "k", ["to"], ["x"], **m).collect() if r.k in (2, 4))
+    known = [(2, 1, "Hall, Moss and Lee"), (2, 2, "Zed Corp"), (4, 1, "Roe; Doe (HOU)"), (4, 2, "Bob Lee")]
+    assert pairs() == known and pairs(limit=1) == known  # broadcast and joined alike
+    assert pairs(dictionary=[]) == [(2, 1, "Hall"), (2, 2, "Moss and Lee"), (2, 3, "Zed Corp"), (4, 1, "Roe"), (4, 2, "Doe (HOU)"), (4, 3, "Bob Lee")]

@@ -88,8 +88,8 @@ def export_script(spark, a):
     text = "\n".join(lines) + "\n"
     Path(a.out).write_text(text)
     Path(a.out).chmod(0o755)
-    ids = sorted({r.doc_id for r in todo.select("doc_id").toLocalIterator()})
-    return {"script": a.out, "certificate": audit.write_certificate(audit.build_record(a.action, ids, text), a.log)}
+    done = [r.asDict() for r in todo.select("index", "doc_id", "operation").distinct().orderBy("index", "doc_id").toLocalIterator()]
+    return {"script": a.out, "certificate": audit.write_certificate(audit.build_record(a.action, done, text), a.log)}
 
 
 def verify_chain(spark, a):
@@ -114,8 +114,7 @@ def build_roster(spark, a):
 
 def subjects(spark, a):
     pool = roster.usable(_roster(spark, a), a.min_messages).filter("internal").orderBy(F.desc("message_count"), "address").limit(a.candidates)
-    names = pool.select("address", F.explode("display_name_variants").alias("n")).select(F.when(F.contains("n", F.lit(",")), F.trim(F.substring_index("n", ",", 1))).otherwise(F.substring_index("n", " ", -1)).alias("surname"))
-    wanted = names.filter(F.length("surname") >= 4).distinct()
+    wanted = pool.select(roster.surname(F.col("display_name_variants")).alias("surname")).filter(F.length("surname") >= 4).distinct()
     return {"ranked": rows(suitability.rank_subjects(collection(spark, a), a.key, a.text, wanted, a.house).limit(a.size))}
 
 
@@ -155,10 +154,12 @@ def score_discovery(spark, a):
     marks = metrics.usable_terms(retrieval.significant_terms(df, derive.select(F.col("doc_id").alias("_id")), "_id", "message", a.terms), [])
     ks = metrics.extend_ks(a.ks, held.count())
     runs = []
-    for p in metrics.build_profiles([r.term for r in marks.collect()]):
+    built = metrics.build_profiles([r.term for r in marks.collect()])
+    for p in built:
         ranked = retrieval.discover(df, p["profile"], p["keywords"], size=max(ks), key="_id", text="message").withColumnRenamed("id", "doc_id")
         runs.append({**p, "mode": "bm25_only", "recall": rows(metrics.recall_at_k(ranked.join(derive, "doc_id", "left_anti"), held, ks))})
-    return {"positives": held.count(), "runs": runs}
+    labels = json.loads(Path(a.labels, "meta.json").read_text())
+    return {"positives": held.count(), "runs": runs, "basis": metrics.report_basis(labels, ks, built)}
 
 
 def score_judgment(spark, a):
@@ -185,7 +186,11 @@ def score_corpus(spark, a):
 
 
 def seed_demo(spark, a):
-    return {"written": sinks.write_collection(synthetic.noise(spark, a.noise), a.out), "documents": a.noise}
+    if not a.labels:
+        return {"written": sinks.write_collection(synthetic.noise(spark, a.noise), a.out), "documents": a.noise}
+    docs, key = synthetic.with_noise(spark, a.noise)
+    out = {"written": sinks.write_collection(docs, a.out), "documents": docs.count(), "labels": sinks.write_rows(key, a.labels)}
+    return {**out, "classes": rows(synthetic.ground_truth(key))} if a.reveal else out  # the key stays on disk unless asked for
 
 
 def seed_mail(spark, a):
@@ -227,7 +232,7 @@ def parser() -> argparse.ArgumentParser:
     people = (o("--domain", required=True), o("--top", type=int, default=5), o("--min-messages", type=int, default=20))
     command("status", status, path=False)
     command("assess", assess, o("--sample", type=int, default=500))
-    command("seed-demo", seed_demo, o("--noise", type=int, default=450), o("--out", required=True), path=False)
+    command("seed-demo", seed_demo, o("--noise", type=int, default=450), o("--out", required=True), o("--labels"), o("--reveal", action="store_true"), path=False)
     command("seed-mail", seed_mail, o("--out", required=True), o("--limit", type=int, default=2000), o("--custodians", **many), o("--folders", **many))
     command("seed-opinions", seed_opinions, o("--out", required=True), o("--captions", required=True), o("--limit", type=int, default=2000), o("--max-chars", type=int, default=8000), o("--whole", action="store_true"))
     command("discover", discover, o("--profile", required=True), o("--keywords"), o("--size", type=int, default=100), o("--fusion", default="rrf", choices=["rrf", "normalization"]), o("--vectors"), o("--vector-key", default="vec_id"), o("--vector", default="embedding"), o("--query-vector"))

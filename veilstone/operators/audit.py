@@ -27,26 +27,38 @@ def entry_hash(record_json: str, previous: str) -> str:
     return hashlib.sha256((record_json + previous).encode()).hexdigest()
 
 
-def build_record(action: str, documents: list[str], script: str = "", **more: object) -> dict:
-    """A certificate: when, what was done to which documents, and the hash of the script."""
+def build_record(action: str, documents: list[str] | list[dict], script: str = "", **more: object) -> dict:
+    """A certificate: when, what was done to which documents, and the hash of the script. A
+    document is its id or a record of its index, id, operation and the like."""
     return {"timestamp": datetime.now(timezone.utc).isoformat(), "action": action, "documents": documents, "count": len(documents), "script_sha256": hashlib.sha256(script.encode()).hexdigest(), **more}
 
 
 def write_certificate(record: dict, folder: str | os.PathLike) -> str:
-    """Append a certificate as a JSON file to a folder of certificates; gives its path."""
+    """Append a certificate as a JSON file to a folder of certificates; gives its path.
+
+    A certificate's number is that of the last file and one; its file is created only if no other
+    writer has taken the number, else the chain is read again, so two writers never fork it."""
     path = Path(folder)
     path.mkdir(parents=True, exist_ok=True)
-    last = GENESIS
-    for entry in sorted(path.glob("erasure-*.json")):
+    text = canonical(record)
+    while True:
+        last, n = GENESIS, 0
+        for entry in sorted(path.glob("erasure-*.json")):
+            n = max(n, int("".join(filter(str.isdigit, entry.stem)) or 0) + 1)
+            try:
+                last = json.loads(entry.read_text())["chain"]["entry_hash"]
+            except (ValueError, KeyError, TypeError):
+                continue
+        out = path / f"erasure-{n:08d}.json"
+        whole = path / f".writing-{os.getpid()}-{n}"
+        whole.write_text(json.dumps({**record, "chain": {"prev_hash": last, "entry_hash": entry_hash(text, last)}}, ensure_ascii=False, sort_keys=True))
         try:
-            last = json.loads(entry.read_text())["chain"]["entry_hash"]
-        except (ValueError, KeyError, TypeError):
+            os.link(whole, out)  # appears whole or not at all, and never in place of another
+            return str(out)
+        except FileExistsError:
             continue
-    text = canonical(record)
-    n = len(list(path.glob("erasure-*.json")))
-    out = path / f"erasure-{n:08d}.json"
-    out.write_text(json.dumps({**record, "chain": {"prev_hash": last, "entry_hash": entry_hash(text, last)}}, ensure_ascii=False, sort_keys=True))
-    return str(out)
+        finally:
+            whole.unlink()
 
 
 def load_certificates(spark: SparkSession, folder: str) -> DataFrame:

@@ -19,6 +19,8 @@ EVALUATION = "doc_id string, index string, is_identifiable boolean, confidence_s
 
 
 def _holds(value: str):
+    """Literal containment in any case: * and ? in a value are characters like others, as the
+    verdict on a field is literal too; a search engine would take them as wildcards."""
     return lambda x: F.contains(F.lower(x), F.lit(value.lower()))
 
 

@@ -160,7 +160,8 @@ def report_basis(labels: dict, ks: list[int], profiles: list[dict], weights: tup
 
 def compare_modes(runs: DataFrame, top_k: int, margin: float = 1.0) -> DataFrame:
     """One row about runs (mode, k, percent, of): the best of each mode at top_k, the gap there,
-    the widest gap at any depth, whether the intervals are apart, and who is ahead."""
+    the widest gap at any depth, whether the intervals are apart, who is ahead, and all that as
+    sentences (own wording)."""
     best = runs.groupBy("k").agg(F.coalesce(F.max(F.when(F.col("mode") == "hybrid", F.col("percent"))), F.lit(0.0)).alias("h"), F.coalesce(F.max(F.when(F.col("mode") == "bm25_only", F.col("percent"))), F.lit(0.0)).alias("b"), F.max("of").alias("of"))
     gaps = best.withColumn("gap", F.round(F.col("h") - F.col("b"), 1))
     at = lambda c: F.max(F.when(F.col("k") == top_k, F.col(c)))
@@ -168,7 +169,17 @@ def compare_modes(runs: DataFrame, top_k: int, margin: float = 1.0) -> DataFrame
     hits = lambda c: F.bround(F.col(c) * F.col("positives") / 100, 0)
     lead = F.when(F.abs("gap") < margin, "level").when(F.col("gap") > 0, "hybrid").otherwise("bm25_only")
     shape = F.when((F.col("widest_k") != top_k) & (F.abs("widest_gap") >= F.abs("gap") + margin), F.when((F.col("gap") != 0) & ((F.col("gap") > 0) != (F.col("widest_gap") > 0)), "crossover").otherwise("convergence")).otherwise("steady")
-    return one.select("*", separable(hits("best_hybrid"), hits("best_bm25"), F.col("positives")).alias("disjoint"), lead.alias("lead"), shape.alias("shape"))
+    return one.select("*", separable(hits("best_hybrid"), hits("best_bm25"), F.col("positives")).alias("disjoint"), lead.alias("lead"), shape.alias("shape")).withColumn("verdict", _verdict(top_k, margin))
+
+
+def _verdict(top_k: int, margin: float) -> Column:
+    deep = F.when(F.col("widest_gap") > 0, "hybrid").otherwise("BM25 alone")
+    names = F.format_string(f"%s%% with vectors against %s%% without, in the first {top_k}.", "best_hybrid", "best_bm25")
+    who = F.when(F.col("lead") == "level", "The two modes are level: ").when(F.col("lead") == "hybrid", "Hybrid search is ahead: ").otherwise("BM25 alone is ahead: ")
+    at = F.format_string("%s leads by %s points at %s.", deep, F.abs("widest_gap"), "widest_k")
+    change = F.when(F.col("shape") == "crossover", F.concat(F.lit(" The lead changes with depth: "), at)).when(F.col("shape") == "convergence", F.concat(F.lit(" Higher up they differ more: "), at)).otherwise("")
+    doubt = F.when(~F.col("disjoint") & (F.abs("gap") >= margin), " The intervals overlap, so the direction is evidence and the size is not.").otherwise("")
+    return F.concat(who, names, change, doubt)
 
 
 def subject_terms(docs: DataFrame, subject: str, key: str, text: str, count: int = 20, least_docs: int = 2) -> DataFrame:

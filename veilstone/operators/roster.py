@@ -133,6 +133,23 @@ def entries(people: DataFrame, domain: str, top: int = 5) -> DataFrame:
     )
 
 
+def _first_filled(names: Column, part) -> Column:
+    found = F.filter(F.transform(names, lambda n: part(F.trim(F.regexp_replace(n, r"(?U)\s+", " ")))), lambda x: x != "")
+    return F.coalesce(F.get(found, 0), F.lit(""))
+
+
+def surname(names: Column) -> Column:
+    """The surname by the first of a list of display names that has one: what stands before a
+    comma, else the last of several words; '' if no name has one."""
+    return _first_filled(names, lambda n: F.when(F.contains(n, F.lit(",")), F.trim(F.substring_index(n, ",", 1))).when(F.contains(n, F.lit(" ")), F.substring_index(n, " ", -1)).otherwise(""))
+
+
+def given_name(names: Column) -> Column:
+    """The first name likewise: the first word behind a comma, else the first of several words."""
+    behind = lambda n: F.substring_index(F.trim(F.regexp_replace(n, "^[^,]*,", "")), " ", 1)
+    return _first_filled(names, lambda n: F.when(F.contains(n, F.lit(",")), behind(n)).when(F.contains(n, F.lit(" ")), F.substring_index(n, " ", 1)).otherwise(""))
+
+
 def usable(roster: DataFrame, min_messages: int = 20) -> DataFrame:
     """Entries with a name, both ends of the active window and enough messages."""
     return roster.filter((F.size("display_name_variants") > 0) & F.col("active_from").isNotNull() & F.col("active_to").isNotNull() & (F.col("message_count") >= min_messages))

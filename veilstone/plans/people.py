@@ -198,6 +198,18 @@ def roster_shares(spark, d):
     return roster.coverage(entries(spark, d), 0).select("people", "named", "with_login", "usable", "named_percent", "login_percent")
 
 
+_SQUEEZED = r"trim(regexp_replace(x, '[\s\x0B\x85\p{Z}]+', ' ', 'g'))"
+_FILLED = "coalesce(list_filter(list_transform(list_transform(names, lambda x: " + _SQUEEZED + "), lambda n: {}), lambda x: x <> '')[1], '')"
+_SURNAME = _FILLED.format("CASE WHEN contains(n, ',') THEN trim(split_part(n, ',', 1)) WHEN contains(n, ' ') THEN string_split(n, ' ')[-1] ELSE '' END")
+_GIVEN = _FILLED.format("CASE WHEN contains(n, ',') THEN split_part(trim(regexp_replace(n, '^[^,]*,', '')), ' ', 1) WHEN contains(n, ' ') THEN split_part(n, ' ', 1) ELSE '' END")
+
+
+@R.add(f"{_NAMED} SELECT address, {_SURNAME} AS surname, {_GIVEN} AS given FROM ro")
+def roster_surnames(spark, d):
+    names = F.col("display_name_variants")
+    return entries(spark, d).select("address", roster.surname(names).alias("surname"), roster.given_name(names).alias("given"))
+
+
 @R.add(f"{_NAMED} SELECT address, message_count, array_to_string(names, '|') AS names FROM ro WHERE {_USABLE}")
 def usable_subjects(spark, d):
     return roster.usable(entries(spark, d)).select("address", "message_count", F.array_join("display_name_variants", "|").alias("names"))

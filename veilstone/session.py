@@ -44,10 +44,27 @@ def shared_dir(spark: SparkSession) -> str:
     return folder
 
 
+#: Folders that `written` has filled and `forget_stages` has not removed.
+_STAGES: list[str] = []
+
+
 def written(df: DataFrame, label: str = "stage") -> DataFrame:
     """Write df once to the shared folder and read it back: later uses neither
-    recompute it nor depend on any executor staying alive."""
+    recompute it nor depend on any executor staying alive. The folder stays until
+    forget_stages, as results that read it are evaluated later."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _STAGES.append(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def forget_stages(spark: SparkSession) -> int:
+    """Remove the intermediate results this process has written; gives their number. Call it
+    when the results that were made from them are stored."""
+    hadoop = spark._jsc.hadoopConfiguration()
+    removed = 0
+    while _STAGES:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_STAGES.pop())
+        removed += bool(path.getFileSystem(hadoop).delete(path, True))
+    return removed
