@@ -199,9 +199,9 @@ def roster_shares(spark, d):
 
 
 _SQUEEZED = r"trim(regexp_replace(x, '[\s\x0B\x85\p{Z}]+', ' ', 'g'))"
-_FILLED = "coalesce(list_filter(list_transform(list_transform(names, lambda x: " + _SQUEEZED + "), lambda n: {}), lambda x: x <> '')[1], '')"
-_SURNAME = _FILLED.format("CASE WHEN contains(n, ',') THEN trim(split_part(n, ',', 1)) WHEN contains(n, ' ') THEN string_split(n, ' ')[-1] ELSE '' END")
-_GIVEN = _FILLED.format("CASE WHEN contains(n, ',') THEN split_part(trim(regexp_replace(n, '^[^,]*,', '')), ' ', 1) WHEN contains(n, ' ') THEN split_part(n, ' ', 1) ELSE '' END")
+_FILLED = "coalesce(list_filter(list_transform(list_transform(names, lambda x: " + _SQUEEZED + "), lambda n: ONE), lambda x: x <> '')[1], '')"
+_SURNAME = _FILLED.replace("ONE", "CASE WHEN contains(n, ',') THEN trim(split_part(n, ',', 1)) WHEN contains(n, ' ') THEN string_split(n, ' ')[-1] ELSE '' END")
+_GIVEN = _FILLED.replace("ONE", "CASE WHEN contains(n, ',') THEN split_part(trim(regexp_replace(n, '^[^,]*,', '')), ' ', 1) WHEN contains(n, ' ') THEN split_part(n, ' ', 1) ELSE '' END")
 
 
 @R.add(f"{_NAMED} SELECT address, {_SURNAME} AS surname, {_GIVEN} AS given FROM ro")
