@@ -139,8 +139,10 @@ def rank_subjects(df: DataFrame, key: str, text: str, subjects: DataFrame, house
     best described first. Surnames meet texts by their tokens, an equi-join, not by a scan per
     subject."""
     t = F.coalesce(F.col(text), F.lit(""))
-    words = df.select(F.col(key), t.alias("__t"), near_dup_key(t).alias("__dup"), F.explode(F.array_distinct(F.regexp_extract_all(F.lower(t), F.lit(r"([\p{L}\p{N}_]+)"), 1))).alias("__w"))
-    met = words.join(subjects.select("surname", F.lower("surname").alias("__w")).distinct(), "__w")
+    # words and keys meet the surnames; only texts that hold one are fetched, each once for its surnames
+    words = df.select(F.col(key), F.explode(F.array_distinct(F.regexp_extract_all(F.lower(t), F.lit(r"([\p{L}\p{N}_]+)"), 1))).alias("__w"))
+    held = words.join(subjects.select("surname", F.lower("surname").alias("__w")).distinct(), "__w").groupBy(key).agg(F.collect_set("surname").alias("__s"))
+    met = df.select(F.col(key), t.alias("__t"), near_dup_key(t).alias("__dup")).join(held, key).select(key, "__t", "__dup", F.explode("__s").alias("surname"))
     parts = F.split(F.lower("__t"), F.concat(F.lit(r"\Q"), F.lower("surname"), F.lit(r"\E")), -1)
     starts = F.aggregate(
         F.slice(parts, 1, F.size(parts) - 1), F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out")),

@@ -331,7 +331,8 @@ def screen(spark, d):
     return suitability.screen(mail(spark, d, "message"), "message", "Quenby", "Dravane")
 
 
-@R.add()
+@R.add(rf"""WITH {_mentions_sql('Dravane', HOUSE)}, dg AS (SELECT mail_id, sha1(substring(trim(regexp_replace(any_value(message), '[\s\x0B\x85\p{{Z}}]+', ' ', 'g')), 1, 300)) AS digest FROM mail GROUP BY mail_id)
+SELECT count(*) AS documents, count(*) FILTER (descriptive > 0) AS descriptive, count(*) FILTER (descriptive = 0) AS list_only, count(DISTINCT CASE WHEN descriptive > 0 THEN digest END) AS distinct_descriptive FROM mt JOIN dg USING (mail_id)""")
 def subject_profile(spark, d):
     return suitability.profile(mail(spark, d, "message"), "mail_id", "message", "Dravane", HOUSE)
 

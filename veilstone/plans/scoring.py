@@ -13,7 +13,7 @@ from ..sources.tables import table
 from .erasure import _EV, evaluations
 from .people import HOUSE, _mentions_sql
 from .registry import Registry
-from .search import _UNIQUE, LEX, WORDS, bm25_sql, top_sql
+from .search import _UNIQUE, KNN_SQL, LEX, WORDS, bm25_sql, top_sql
 
 R = Registry()
 _DIGITS = "('0','2','4','6','8','a','c','e')"
@@ -182,7 +182,22 @@ def report_basis(spark, d):
     return spark.createDataFrame(sorted(basis["thresholds"].items()), "mode string, threshold double")
 
 
-@R.add()
+_BM25_200 = top_sql(bm25_sql(retrieval.boosted_terms(WORDS, WORDS)), 200)
+_RRF_200 = top_sql(f"SELECT coalesce(a.id, b.id) AS id, round(coalesce(1e0 / (60 + a.rank), 0) + coalesce(1e0 / (60 + b.rank), 0), 9) AS score FROM ({_BM25_200}) a FULL JOIN ({top_sql(KNN_SQL, 200)}) b ON a.id = b.id", 200)
+
+
+def _interval(hits: str, n: str) -> str:
+    return f"(SELECT struct_pack(low := w.low, high := w.high) FROM (SELECT {wilson_sql(hits, n)}) w)"
+
+
+@R.add(f"""WITH {_POS}, runs AS (SELECT 'bm25_only' AS mode, id, rank FROM ({_BM25_200}) UNION ALL SELECT 'hybrid', id, rank FROM ({_RRF_200})),
+n AS (SELECT count(*) AS of FROM pos), r AS (SELECT m.mode, k, round(100e0 * count(runs.id) / any_value(n.of), 1) AS percent FROM (VALUES ('bm25_only'), ('hybrid')) m(mode), (VALUES (10), (50), (200)) t(k), n LEFT JOIN (SELECT * FROM runs WHERE id IN (SELECT doc_id FROM pos)) runs ON runs.mode = m.mode AND runs.rank <= k GROUP BY 1, 2),
+g AS (SELECT CAST(k AS INTEGER) AS k, h.percent AS h, b.percent AS b, round(h.percent - b.percent, 1) AS gap FROM r h JOIN r b USING (k) WHERE h.mode = 'hybrid' AND b.mode = 'bm25_only'),
+w AS (SELECT k AS widest_k, gap AS widest_gap FROM g ORDER BY abs(gap) DESC, k = 200 DESC, k LIMIT 1),
+o AS (SELECT g.h AS best_hybrid, g.b AS best_bm25, g.gap, n.of AS positives, widest_k, widest_gap, round_even(g.h * n.of / 100, 0) AS hh, round_even(g.b * n.of / 100, 0) AS hb FROM g, n, w WHERE g.k = 200),
+i AS (SELECT *, {_interval('hh', 'positives')} AS x, {_interval('hb', 'positives')} AS y FROM o)
+SELECT best_hybrid, best_bm25, gap, positives, widest_k, widest_gap, x.low > y.high OR y.low > x.high AS disjoint, CASE WHEN abs(gap) < 1 THEN 'level' WHEN gap > 0 THEN 'hybrid' ELSE 'bm25_only' END AS lead,
+CASE WHEN widest_k <> 200 AND abs(widest_gap) >= abs(gap) + 1 THEN CASE WHEN gap <> 0 AND (gap > 0) <> (widest_gap > 0) THEN 'crossover' ELSE 'convergence' END ELSE 'steady' END AS shape FROM i""".replace(" n LEFT JOIN", " n LEFT JOIN"))
 def compare_modes(spark, d):
     vectors = table(spark, d, "embeddings")
     docs, found = table(spark, d, "documents", "doc_id", "text"), positives(spark, d)
@@ -191,4 +206,4 @@ def compare_modes(spark, d):
     for mode, v in (("bm25_only", None), ("hybrid", vectors)):
         ranked = retrieval.discover(docs, WORDS, vectors=v, query=query, size=200).withColumnRenamed("id", "doc_id")
         runs.append(metrics.recall_at_k(ranked, found, [10, 50, 200]).select(F.lit(mode).alias("mode"), "k", "percent", "of"))
-    return metrics.compare_modes(runs[0].unionByName(runs[1]), 200)
+    return metrics.compare_modes(runs[0].unionByName(runs[1]), 200).drop("verdict")
