@@ -266,7 +266,32 @@ def all_captions(spark: SparkSession, d: str) -> DataFrame:
     return captions.captions_of(table(spark, d, "clusters"))
 
 
-@R.add()
+def _q(pattern: str) -> str:
+    return "'" + pattern.replace("'", "''") + "'"
+
+
+def _caption_sql() -> str:
+    """SQL of (cluster_id, pos, party, organisation, surname, given), the folds as list expressions."""
+    replaced = lambda c, pattern, by: f"regexp_replace({c}, {_q(pattern)}, '{by}', 'g')"
+    tidy = lambda p: replaced(replaced(replaced(replaced(replaced(replaced(p, captions._ROLE, " "), r"[\s\-]{2,}", " "), captions._EDGE, ""), r"(?i)^(?:the|a|an)\s+", ""), captions._SUFFIX, ""), captions._EDGE, "")
+    words = lambda c: f"list_filter(list_transform(string_split_regex({c}, '[\\s,]+'), lambda w: {replaced('w', '^[.,;' + chr(39) + chr(34) + ']+|[.,;' + chr(39) + chr(34) + ']+$', '')}), lambda w: w <> '')"
+    listed = lambda names: "[" + ", ".join(_q(n) for n in names) + "]"
+    flat = replaced(r"trim(regexp_replace(caption, '\s+', ' ', 'g'))", r"(?i)^\s*(?:in\s+re|ex\s+parte|matter\s+of|estate\s+of)\b[:\s]*", "")
+    pieces = "string_split_regex(" + flat + ", " + _q(r"(?i)\s+vs?\.?\s+|[,;]?\s*\bex\s+rel(?:atione)?\.?\s+") + ")"
+    return f"""WITH c AS (SELECT cluster_id, max(coalesce(CASE WHEN trim(case_name_full) <> '' THEN case_name_full END, CASE WHEN trim(case_name) <> '' THEN case_name END, CASE WHEN trim(case_name_short) <> '' THEN case_name_short END)) AS caption FROM clusters GROUP BY 1),
+p AS (SELECT cluster_id, list_filter(list_transform({pieces}, lambda x: {tidy("x")}), lambda x: x <> '') AS ps FROM c WHERE caption IS NOT NULL),
+e AS (SELECT cluster_id, unnest(range(len(ps))) AS pos, unnest(ps) AS party FROM p),
+s AS (SELECT *, {words("party")} AS ws, list_transform(list_filter(list_transform(string_split(party, ','), lambda x: trim(x)), lambda x: x <> ''), lambda x: {words("x")}) AS segs FROM e),
+m AS (SELECT *, list_transform(segs, lambda g: coalesce(list_position(list_transform(g, lambda w: list_contains({listed(captions.INSTITUTIONS)}, lower(w))), true), 0)) AS marks FROM s),
+i AS (SELECT *, coalesce(list_position(list_transform(marks, lambda x: x > 0), true), 0) AS cut FROM m),
+k AS (SELECT *, CASE WHEN cut = 0 THEN flatten(segs) WHEN len(flatten(segs[1:cut - 1])) = 0 AND marks[cut] >= 3 THEN segs[cut][1:marks[cut] - 1] ELSE flatten(segs[1:cut - 1]) END AS person FROM i),
+o AS (SELECT *, len(list_filter(ws, lambda w: list_contains({listed(captions.CORPORATE)}, lower(w)))) > 0 OR coalesce(len(person), 0) = 0 AS organisation FROM k)
+SELECT cluster_id, CAST(pos AS INTEGER) AS pos, party, organisation,
+CASE WHEN NOT organisation AND length(person[-1]) >= 4 AND NOT list_contains({listed((*captions.INSTITUTIONS, *captions.CORPORATE))}, lower(person[-1])) AND regexp_matches(person[-1], '^[A-Za-z][A-Za-z''\\-]+$') THEN person[-1] ELSE '' END AS surname,
+CASE WHEN NOT organisation AND len(person) >= 2 AND regexp_matches(person[1], '^[A-Z][a-z]{{2,}}$') THEN person[1] ELSE '' END AS given FROM o"""
+
+
+@R.add(_caption_sql())
 def caption_parties(spark, d):
     return captions.caption_parties(all_captions(spark, d), "cluster_id", "caption")
 
