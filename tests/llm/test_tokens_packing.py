@@ -112,3 +112,15 @@ def test_hot_size_is_ranked_in_blocks(spark):
     got = packing.pack_sized(df, rank_block=50)
     worst = got.groupBy("container").sum("n_tokens").agg({"sum(n_tokens)": "max"}).first()[0]
     assert worst <= 2048 and got.count() == 3000
+
+
+def test_emptied_tables_change_nothing(monkeypatch):
+    rnd = random.Random(9)
+    texts = [" ".join("".join(rnd.choice("abcdefghijklmno") for _ in range(rnd.randrange(1, 14))) for _ in range(30)) for _ in range(40)]
+    whole = tokens.Encoder(tokens.RANKS)
+    expected = [whole.encode([t])[0].tolist() for t in texts]
+    monkeypatch.setattr(tokens, "KEPT_PAIRS", 5)
+    monkeypatch.setattr(tokens, "KEPT_PIECES", 20)
+    small = tokens.Encoder(tokens.RANKS)
+    assert [small.encode([t])[0].tolist() for t in texts] == expected and len(small.pairs) <= 5
+    assert (whole.pairs[1:] > whole.pairs[:-1]).all()

@@ -29,7 +29,8 @@ from pyspark.sql import types as T
 RANKS = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: The split pattern published with the vocabulary (fixed value).
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-#: Pieces kept encoded per worker; the table is emptied when it is full, which only costs time.
+#: Pieces kept encoded and pairs kept tested per worker; a table is emptied when it is full, which only costs time.
+KEPT_PAIRS = 2_000_000
 KEPT_PIECES = 400_000
 #: Characters handled at once, to bound a worker's memory whatever the batch holds.
 CHUNK_CHARS = 4_000_000
@@ -133,11 +134,13 @@ class Encoder:
         new = np.unique(pairs[~known])
         if len(new):
             fresh = np.fromiter((self.merge(self.bytes_of[p >> 32] + self.bytes_of[p & 0xFFFFFFFF]) == [p >> 32, p & 0xFFFFFFFF] for p in new.tolist()), bool, len(new))
-            every, ok = np.concatenate([self.pairs, new]), np.concatenate([self.fits, fresh])
-            order = np.argsort(every, kind="stable")
-            self.pairs, self.fits = every[order], ok[order]
+            place = np.searchsorted(self.pairs, new)  # both are sorted, so new pairs are put in their places
+            self.pairs, self.fits = np.insert(self.pairs, place, new), np.insert(self.fits, place, fresh)
             at = np.searchsorted(self.pairs, pairs)
-        return self.fits[at]
+        out = self.fits[at]
+        if len(self.pairs) > KEPT_PAIRS:
+            self.pairs, self.fits = self.pairs[:0].copy(), self.fits[:0].copy()
+        return out
 
     def _learn(self, pieces: list[str]) -> None:
         """Encode new pieces and add them to the table."""
