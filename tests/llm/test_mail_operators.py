@@ -164,9 +164,9 @@ def test_first_names_are_no_surnames(spark):
 
 def test_slips_of_given_names():
     f = personal.Finder(personal.Patterns(given=frozenset({"francesca", "anna"}), surnames=frozenset({"hill"})))
-    for word in ("Francseca", "Francesa", "Francessca", "Franzesca", "Frances ca"):
-        assert f._slip(word) == (" " not in word)
-    assert not f._slip("Prancesca") and not f._slip("Anan") and not f._slip("francseca")
+    for word in ("Francseca", "Francesa", "Francessca", "Franzesca"):
+        assert f._slip(word)
+    assert not f._slip("Frenzesca") and not f._slip("Prancesca") and not f._slip("Anan") and not f._slip("francseca")
 
 
 def test_addresses_in_words_across_lines():
