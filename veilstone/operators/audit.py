@@ -10,6 +10,7 @@ from __future__ import annotations
 import hashlib
 import json
 import os
+import uuid
 from datetime import datetime, timezone
 from pathlib import Path
 
@@ -50,7 +51,7 @@ def write_certificate(record: dict, folder: str | os.PathLike) -> str:
             except (ValueError, KeyError, TypeError):
                 continue
         out = path / f"erasure-{n:08d}.json"
-        whole = path / f".writing-{os.getpid()}-{n}"
+        whole = path / f".writing-{uuid.uuid4().hex}"
         whole.write_text(json.dumps({**record, "chain": {"prev_hash": last, "entry_hash": entry_hash(text, last)}}, ensure_ascii=False, sort_keys=True))
         try:
             os.link(whole, out)  # appears whole or not at all, and never in place of another
