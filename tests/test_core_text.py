@@ -136,6 +136,40 @@ def test_names_beyond_the_limit_give_the_same_values(spark):
     assert few == many and (2, "x", 2, "Hill; Anna (HOU)", "") in many and (4, "x", 1, "Moss, Cara May Ann", "") in many
 
 
+def test_names_beyond_the_limit_do_not_multiply_the_rows(spark):
+    from veilstone.operators import packed
+
+    texts = ["; ".join(f'"Lee, Ann{j} (HOU {i})" <a{j}@x.example>, Bob Moss {i} <b{j}@x.example>' for j in range(8)) for i in range(300)]
+    rows = [(i, [f"a{i}@x.example"], t) for i, t in enumerate(texts)] + [(300, None, "Zed Corp, Lee, Ann1 (HOU 7), Hill, Bob")]
+    df = spark.createDataFrame(rows, "k int, to array<string>, x string")
+    jvm, store = spark.sparkContext._gateway, spark._jsc.sc().statusStore()
+
+    def moved() -> int:
+        none = jvm.jvm.java.util.ArrayList()
+        stages = store.stageList(none, False, False, jvm.new_array(jvm.jvm.double, 0), none)
+        return sum(stages.apply(i).shuffleWriteRecords() for i in range(stages.size()))
+
+    def values(limit: int) -> list[tuple]:
+        return sorted(map(tuple, packed.unpack(df, "k", ["to"], ["x"], limit=limit).collect()))
+
+    few, before = values(10_000), moved()
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as with tables of some size
+    try:
+        assert values(1) == few and (300, "x", 2, "Lee, Ann1 (HOU 7)", "") in few
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    # the names are 8 for each row; the rows are moved with few values each, not with every part of their texts
+    assert moved() - before < 40 * len(rows)
+
+
+def test_what_a_cover_could_take_from_the_dictionary():
+    from veilstone.operators import packed
+
+    assert packed.parts_between("a b, c; d, , e") == {"a b", "a b, c"}
+    assert {"hill; anna (hou)", "bob lee; hill", "lee; hill; anna"} <= packed.parts_around("bob lee; hill; anna (hou)")
+    assert packed.parts_around('bob lee; "hill, anna') == set() and packed.parts_around("") == packed.parts_between("") == set()
+
+
 def test_known_name_of_many_parts_is_one_value():
     from veilstone.operators.packed import Segmenter
 

@@ -8,12 +8,15 @@ First", "Last; First (HOU)") never splits it.
 
 The names of the dictionary come from the table itself: every name standing beside an
 address or a directory path is known. The dictionary is counted before it is broadcast;
-beyond its limit the parts of each field are joined to the names instead, and each field is
-segmented with the names found in it, which gives the same values.
+beyond its limit the values that the cover of each field could take from the dictionary are
+joined to the names instead, and each field is segmented with the names found in it, which
+gives the same values.
 """
 
 from __future__ import annotations
 
+import bisect
+import copy
 import re
 from collections.abc import Iterator
 
@@ -22,8 +25,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Known names that are broadcast at most (about 40 bytes each, so 80 MB with the automaton's nodes in a worker).
+#: Known names that are broadcast at most (about 450 bytes each with the automaton's nodes, so 90 MB in a worker).
 DICTIONARY_LIMIT = 200_000
+#: Characters of a name of the dictionary at most: 60, which lower case can double.
+LONGEST = 120
+#: Rows that are taken apart at once, and values that are given at once beyond one row's own.
+SLICE, VALUES = 1000, 20_000
 _ADDRESS = r"[\w.+&=%'’-]*\w@[\w-]+(?:\.[\w-]+)+"
 _ONE = re.compile(
     rf"""
@@ -78,6 +85,12 @@ class Segmenter:
             self.automaton.make_automaton()
         self.commas = commas
 
+    def for_lists(self) -> Segmenter:
+        """The same names for address lists, in the same automaton."""
+        other = copy.copy(self)
+        other.commas = False
+        return other
+
     def names_in(self, text: str) -> list[tuple[int, int]]:
         """Spans of known names that stand between delimiters or line ends."""
         if not self.known:
@@ -243,42 +256,92 @@ def name_table(df: DataFrame, columns: list[str]) -> DataFrame:
     return df.select(*columns).mapInArrow(run, "name string").distinct()
 
 
-def parts_of(text: str) -> set[str]:
-    """What can be a name of the dictionary in a lower-cased text: the parts of up to 60
-    characters between ends of words that hold a delimiter or blank."""
-    starts = [i for i, c in enumerate(text) if c not in " \t\n,;|\"" and (not i or not text[i - 1].isalnum())]
-    ends = [i for i in range(1, len(text) + 1) if i == len(text) or not text[i].isalnum()]
-    out, low = set(), 0
-    for a in starts:
-        while low < len(ends) and ends[low] <= a:
-            low += 1
-        for b in ends[low:]:
-            if b - a > 60:
-                break
-            if re.search(r"[,; ]", part := text[a:b]) and part[-1] not in " \t\n,;|":
-                out.add(part)
+class Asker(Segmenter):
+    """Collects, in `asked`, the values that the covers of a text could take from a dictionary."""
+
+    def __init__(self, commas: bool = True):
+        super().__init__([], commas)
+        self.asked: set[str] = set()
+
+    def split_plain(self, text: str) -> list[str]:
+        low = text.lower()
+        if re.search(r"[;|]", low):
+            self.asked |= parts_around(low)
+        if self.commas and "," in low:
+            self.asked |= parts_between(low)
+        return []
+
+
+def parts_around(text: str) -> set[str]:
+    """The parts of a lower-cased text between ends of words that hold a semicolon or bar, which
+    only the dictionary keeps whole."""
+    out = set()
+    for run in re.split(r"[\"<>@/]", text):  # no name holds these
+        starts = [m.start() for m in re.finditer(r"(?<![^\s,;|'])[^\s,;|]", run)]
+        ends = [m.end() for m in re.finditer(r"[^\s,;|](?=[\s,;|'(]|\Z)", run)]
+        for m in re.finditer(r"[;|]", run):
+            at = m.start()
+            for a in starts[bisect.bisect_left(starts, at - LONGEST) : bisect.bisect_left(starts, at)]:
+                out.update(run[a:b] for b in ends[bisect.bisect_right(ends, at) : bisect.bisect_right(ends, a + LONGEST)])
     return out
 
 
-def _with_names(rows: DataFrame, columns: list[str], names: DataFrame) -> DataFrame:
-    """Adds `__known`, the names of the table that stand in the given columns of a row."""
+def parts_between(text: str) -> set[str]:
+    """The values that a cover of a lower-cased text can be made of: neighbours among the parts at its commas."""
+    out = set()
+    for run in re.split(r"[;|\t\n]", text):
+        parts = [p.strip() for p in run.split(",")]
+        for i in range(len(parts)):
+            value = ""
+            for part in parts[i:] if len(parts) > 1 else []:
+                value = f"{value}, {part}" if value else part
+                if not part or len(value) > LONGEST:
+                    break
+                if re.search("[, ]", value):
+                    out.add(value)
+    return out
+
+
+def asked_names(rows: DataFrame, key: str, lists: list[str], headers: list[str]) -> DataFrame:
+    """(key, name): what each row's fields could take from a dictionary, in lower case. Of a row
+    only its key is given with them, and few values at a time, however many a row has."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            of, parts = [], []
-            for i, values in enumerate(zip(*(c.to_pylist() for c in batch.columns))):
-                texts = [joined(v) if isinstance(v, list) else v for v in values]
-                found = set().union(*(parts_of(t.lower()) for t in texts if t))
-                of += [i] * len(found)
-                parts += sorted(found)
-            at = pa.array(of, pa.int64())
-            yield pa.RecordBatch.from_arrays([*(c.take(at) for c in batch.columns), pa.array(parts, pa.string())], names=[*columns, "name"])
-
-    fields = [rows.schema[c] for c in columns]
-    schema = T.StructType([*(T.StructField(f.name, f.dataType) for f in fields), T.StructField("name", T.StringType())])
-    known = rows.select(*columns).distinct().mapInArrow(run, schema).join(names, "name").groupBy(*columns).agg(F.collect_set("name").alias("__known"))
-    same = [rows[c].eqNullSafe(known[c]) for c in columns]
-    return rows.join(known, same, "left").select(*(rows[c] for c in rows.columns), "__known")
+        for_lists, for_headers = Asker(commas=False), Asker()
+        for batch in _slices(batches):
+            take, names = [], []
+            fields = [(for_lists if c in lists else for_headers, batch.column(i + 1).to_pylist()) for i, c in enumerate([*lists, *headers])]
+            for i in range(batch.num_rows):
+                asked: set[str] = set()
+                for asker, values in fields:
+                    if values[i]:
+                        asker.asked = asked
+                        asker.entries(joined(values[i]) if asker is for_lists else values[i])
+                        asked = asker.asked
+                take += [i] * len(asked)
+                names += sorted(asked)
+                if len(names) > VALUES or i + 1 == batch.num_rows:
+                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(take, pa.int64())), pa.array(names, pa.string())], names=[key, "name"])
+                    take, names = [], []
+
+    schema = T.StructType([T.StructField(key, rows.schema[key].dataType), T.StructField("name", T.StringType())])
+    return rows.select(key, *lists, *headers).mapInArrow(run, schema)
+
+
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for start in range(0, batch.num_rows, SLICE):
+            yield batch.slice(start, SLICE)
+
+
+def _with_names(rows: DataFrame, lists: list[str], headers: list[str], names: DataFrame) -> DataFrame:
+    """Adds `__known`, the names of the table that the given columns of a row could be covered with.
+    Rows are told by a hash of these columns: if two share it, each gets names that do not
+    stand in its texts besides its own, which change nothing."""
+    hashed = rows.withColumn("__row", F.xxhash64(*lists, *headers))
+    asked = asked_names(hashed, "__row", lists, headers).distinct()
+    known = asked.join(names, "name").groupBy("__row").agg(F.collect_set("name").alias("__known"))
+    return hashed.join(known, "__row", "left").drop("__row")
 
 
 def unpack(df: DataFrame, key: str, lists: list[str], headers: list[str], dictionary: list[str] | None = None, limit: int = DICTIONARY_LIMIT) -> DataFrame:
@@ -300,14 +363,16 @@ def unpack(df: DataFrame, key: str, lists: list[str], headers: list[str], dictio
     joins = names is not None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for_lists, for_headers = plain = Segmenter(known, commas=False), Segmenter(known)
-        for batch in batches:
+        for_headers = Segmenter(known)
+        for_lists, for_headers = plain = for_headers.for_lists(), for_headers
+        given = [key, "hdr", "pos", "name", "address"]
+        for batch in _slices(batches):
             take, hdr, pos, name, address = [], [], [], [], []
             columns = {c: batch.column(i + 1).to_pylist() for i, c in enumerate([*lists, *headers])}
             own = batch.column(batch.num_columns - 1).to_pylist() if joins else None
             for i in range(batch.num_rows):
                 if own:
-                    for_lists, for_headers = (Segmenter(own[i], commas=False), Segmenter(own[i])) if own[i] else plain
+                    for_lists, for_headers = ((s := Segmenter(own[i])).for_lists(), s) if own[i] else plain
                 for c, values in columns.items():
                     if not values[i]:
                         continue
@@ -318,8 +383,10 @@ def unpack(df: DataFrame, key: str, lists: list[str], headers: list[str], dictio
                         pos.append(p)
                         name.append(n)
                         address.append(a)
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(take, pa.int64())), pa.array(hdr, pa.string()), pa.array(pos, pa.int64()), pa.array(name, pa.string()), pa.array(address, pa.string())], names=[key, "hdr", "pos", "name", "address"])
+                if len(take) > VALUES or i + 1 == batch.num_rows:
+                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(take, pa.int64())), pa.array(hdr, pa.string()), pa.array(pos, pa.int64()), pa.array(name, pa.string()), pa.array(address, pa.string())], names=given)
+                    take, hdr, pos, name, address = [], [], [], [], []
 
     schema = T.StructType([T.StructField(key, df.schema[key].dataType), T.StructField("hdr", T.StringType()), T.StructField("pos", T.LongType()), T.StructField("name", T.StringType()), T.StructField("address", T.StringType())])
     rows = df.select(key, *lists, *headers)
-    return (_with_names(rows, [*lists, *headers], names) if joins else rows).mapInArrow(run, schema)
+    return (_with_names(rows, lists, headers, names) if joins else rows).mapInArrow(run, schema)
