@@ -79,6 +79,34 @@ def test_spans_of_the_ancestor_are_removed(spark):
     assert fresh.without_quoted(two, nested) == two and fresh.without_quoted(f"Yes. {two} Done.", two).split() == ["Yes.", "Done."]
 
 
+def test_only_the_writer_of_a_quotation_is_its_ancestor(spark):
+    one, two = ORIGINAL.split(". ")
+    head = "On Tue, Jul 13, 1999 at 2:38, Bob Lee <bob.lee@x.example> wrote:"
+    reply = f"Fine with me.\n{head}\n> {one[:60]}\n> {one[60:]}.\n{two}\nI will do it.\n> Bob"
+    # a copy of the reply and another reply hold the same quotation under smaller keys
+    rows = [(1, reply), (2, reply), (3, f"No, not yet.\n{head}\n> {one[:60]}\n> {one[60:]}.\n> {two}"), (4, ORIGINAL)]
+    df = spark.createDataFrame([(k, t, None, None, None) for k, t in rows], "mail_id long, message string, subject string, mail_from string, x_from string")
+    index = fresh.fingerprint_index(df, "mail_id", "message")
+    assert {r.mail_id: r.ancestor for r in fresh.ancestors(df, index, "mail_id", "message").collect()} == {1: ORIGINAL, 2: ORIGINAL}
+    got = {r.mail_id: r.new_text for r in fresh.newly_written(df, "mail_id").collect()}
+    assert got == {1: "Fine with me. I will do it.", 2: "Fine with me. I will do it.", 3: "No, not yet.", 4: ORIGINAL}
+
+
+def test_quotations_without_marks_ask_for_their_ancestor(spark):
+    one, two = ORIGINAL.split(". ")
+    head = "Le 13/07/1999 à 2:38, Bob Lee a écrit :"
+    answer = "I will bring both copies on Friday."
+    flow, lines = (f"Fine.{b}{head}{b}{one}.{b}{answer}{b}{two}" for b in (" ", "\n"))
+    rows = [(1, ORIGINAL), (2, flow), (3, lines), (4, f"Fine.\n{head}\nBob,\nnobody else has seen this mail, which lies in no mailbox here.\nBob")]
+    df = spark.createDataFrame([(k, t, None, None, None) for k, t in rows], "mail_id long, message string, subject string, mail_from string, x_from string")
+    got = {r.mail_id: r.new_text for r in fresh.newly_written(df, "mail_id").collect()}
+    assert got == {1: ORIGINAL, 2: f"Fine. {answer}", 3: f"Fine. {answer}", 4: "Fine."}
+    # a sentence that stands in another mail by chance makes nothing beside it an answer
+    assert fresh._answers_unmarked(f" {one}. More of the quoted mail.", f"Hello. {one}.") and fresh._answers_unmarked(f" Bob, {one}.", f"Hello. {one}.") == []
+    # an unmarked quotation may stand before marked ones
+    assert len(fresh.open_quotation(f"Fine.\n{head}\n{one}\n{head}\n> {two}\n{ORIGINAL}")) == 2
+
+
 def test_long_notices_and_signatures_are_removed(spark):
     import random
 

@@ -2,7 +2,7 @@
 
 Every message is winnowed into fingerprints of its eight-word runs. Two questions go to the
 inverted index of all fingerprints: which runs recur under many unlike messages (legal
-notices and other recurring closings), and which earlier message a quotation comes from,
+notices and other recurring closings), and which other message wrote what a quotation holds,
 without any thread identifier. The answers settle what marks alone leave open: where a
 closing begins in running text, and where a quoted line ends and an answer begins once line
 breaks are lost. Spans found this way are verified against the text before they are removed.
@@ -123,10 +123,14 @@ class Winnower:
 
     def pick_many(self, texts: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
         """(hash, index of the text) of what pick gives for each text, in one pass."""
+        return self.places(texts)[:2]
+
+    def places(self, texts: list[list[str]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """What pick_many gives, with the place of each hash among the words of its text."""
         sizes = np.fromiter(map(len, texts), np.int64, len(texts))
         g = self.grams(list(chain.from_iterable(texts)))
         if not len(g):
-            return np.empty(0, np.int64), np.empty(0, np.int64)
+            return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64)
         owner = np.repeat(np.arange(len(texts)), sizes)
         g[owner[: len(g)] != owner[RUN - 1 :]] = _NONE  # runs across two texts
         owner = owner[: len(g)]
@@ -140,7 +144,7 @@ class Winnower:
         inside = (whole[last] == owner) | (short[owner] & np.concatenate([[True], owner[1:] != owner[:-1]]))
         at = np.unique(np.minimum(at[inside], len(g) - 1))
         at = at[g[at] != _NONE]
-        return g[at].view(np.int64), owner[at]
+        return g[at].view(np.int64), owner[at], at - (np.cumsum(sizes) - sizes)[owner[at]]
 
 
 def tokens(text: str) -> list[str]:
@@ -376,8 +380,8 @@ def quote_start(text: str) -> tuple[int, int, str] | None:
         s = _name_before(text, m.start(), "")
         if best is None or s < best[0]:
             best = (s, m.end(), "cut")
-    for pattern, sure in ((_BEGIN, "Begin"), (_ATTRIBUTION, ":")):
-        m = pattern.search(text) if sure in text else None
+    for pattern, sure in ((_BEGIN, ("Begin",)), (_ATTRIBUTION, ("wrote:", "écrit", "schrieb"))):
+        m = pattern.search(text) if any(word in text for word in sure) else None
         if m and (best is None or m.start() < best[0]):
             best = (m.start(), m.end(), "marked")
     m = _WRITES.search(text) if "writes:" in text else None
@@ -431,11 +435,39 @@ def _answers_in_flow(text: str, ancestor: str | None) -> list[str]:
     return out
 
 
+def _marked(text: str) -> bool:
+    """Whether any line behind an attribution has kept its mark."""
+    return ">" in text and re.search(r"(?:^|\n)\s*>|(?<!\S)>+(?!\S)", text) is not None
+
+
+def _answers_unmarked(text: str, ancestor: str | None) -> list[str]:
+    """The answers behind an attribution none of whose lines has kept its mark: what stands beside
+    the ancestor's words if it begins with them, they are most of it, and they are enough to share
+    a fingerprint for sure; else nothing tells an answer from the quotation, and all of it is one."""
+    words = tokens(text)
+    if not ancestor or f" {' '.join(words[:RUN])} " not in f" {' '.join(_own_words(ancestor))} ":
+        return []
+    beside = without_quoted(text, ancestor)
+    rest = len(tokens(beside))
+    return [beside] if len(words) - rest > max(rest, RUN + WINDOW - 2) else []
+
+
+def _own_words(message: str) -> list[str]:
+    """What a message holds before any quotation of its own."""
+    quoted = quote_start(message)
+    return tokens(message[: quoted[0]] if quoted else message)
+
+
+def _section(text: str) -> str:
+    """The text behind an attribution up to the next quotation."""
+    found = quote_start(text)
+    return text if found is None else text[: found[0]]
+
+
 def without_quoted(piece: str, ancestor: str) -> str:
     """A piece without the spans of at least RUN words that stand in what the ancestor's sender
     wrote, before any quotation of its own; punctuation behind a span goes with it."""
-    quoted = quote_start(ancestor)
-    have = tokens(ancestor[: quoted[0]] if quoted else ancestor)
+    have = _own_words(ancestor)
     runs = {tuple(have[i : i + RUN]) for i in range(len(have) - RUN + 1)}
     spans = list(re.finditer(r"\w+", piece))
     found = [m.group().lower() for m in spans]
@@ -470,6 +502,8 @@ def new_text(message: str, subject: str | None, sender: Sender, recurring: np.nd
             tail, rest = rest[: found[0]], rest[found[1] :]
         if not marked:
             pieces.append(tail)
+        elif not _marked(tail):
+            pieces += _answers_unmarked(tail, ancestor)
         else:
             pieces += _answers_in_lines(tail) if "\n" in body else _answers_in_flow(" " + tail, ancestor)
         if found is None or found[2] == "cut":
@@ -484,12 +518,13 @@ def new_text(message: str, subject: str | None, sender: Sender, recurring: np.nd
 
 def open_quotation(message: str) -> list[str]:
     """The stretches of quoted words of a message whose quotation may hold an answer or a quoted
-    line that has lost its mark: one with unmarked text of a run's length behind its attribution."""
-    if ">" not in message:
-        return []
+    line that has lost its mark: one with unmarked text of a run's length behind its attribution.
+    Where no line has a mark, all of it is one stretch."""
     found = quote_start(message)
     if found is None or found[2] == "cut":
         return []
+    if not _marked(tail := _section(message[found[1] :])):
+        return [tail] * (len(tail.split()) >= RUN) + open_quotation(message[found[1] + len(tail) :])
     if "\n" in message:
         parts = [(line.lstrip().startswith(">"), line) for line in message[found[1] :].split("\n")]
         is_open = any(len(a.split()) >= RUN for a in _answers_in_lines("\n".join(line for _, line in parts)))
@@ -500,20 +535,23 @@ def open_quotation(message: str) -> list[str]:
 
 
 def fingerprint_index(df: DataFrame, key: str, text: str) -> DataFrame:
-    """(fp, key, least): the winnowed fingerprints of every text; `least` is the smallest of
-    the text, which near copies mostly share."""
+    """(fp, key, least, own): the winnowed fingerprints of every text; `least` is the smallest of
+    the text, which near copies mostly share; `own` tells whether the run stands before any
+    quotation of the text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         winnower = Winnower()
         for batch in batches:
             for start in range(0, batch.num_rows, 2000):
-                texts = [tokens(t) if t else [] for t in batch.column(1).slice(start, 2000).to_pylist()]
-                fps, at = winnower.pick_many(texts)
+                messages = batch.column(1).slice(start, 2000).to_pylist()
+                texts = [tokens(t) if t else [] for t in messages]
+                fps, at, place = winnower.places(texts)
+                written_words = np.array([len(w) if not t or (q := quote_start(t)) is None else len(tokens(t[: q[0]])) for t, w in zip(messages, texts)], np.int64)
                 least = np.full(len(texts), _NONE)
                 np.minimum.at(least, at, fps.view(np.uint64))
-                yield pa.RecordBatch.from_arrays([pa.array(fps), batch.column(0).take(pa.array(at + start)), pa.array(least.view(np.int64)[at])], names=["fp", key, "least"])
+                yield pa.RecordBatch.from_arrays([pa.array(fps), batch.column(0).take(pa.array(at + start)), pa.array(least.view(np.int64)[at]), pa.array(place + RUN <= written_words[at])], names=["fp", key, "least", "own"])
 
-    schema = f"fp bigint, {key} {df.schema[key].dataType.simpleString()}, least bigint"
+    schema = f"fp bigint, {key} {df.schema[key].dataType.simpleString()}, least bigint, own boolean"
     return df.select(F.col(key), F.col(text).cast("string")).mapInArrow(run, schema)
 
 
@@ -529,9 +567,11 @@ def recurring_runs(index: DataFrame, messages: int, recurs: float = RECURS, leas
 
 
 def ancestors(df: DataFrame, index: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, ancestor text) for the messages with an open quotation: the other message that
-    shares most of its fingerprints, ties to the smallest key."""
-    asked = df.select(F.col(key), F.col(text).cast("string").alias("t")).filter("contains(t, '>')")
+    """(key, ancestor text) for the messages with an open quotation: the other message whose own
+    text, before any quotation, shares most of its fingerprints, ties to the smallest key. What a
+    message only quotes itself gives it no vote, so copies of the asker and other answers to the
+    same mail do not stand in for it; dates, which may be off, are not needed."""
+    asked = df.select(F.col(key), F.col(text).cast("string").alias("t")).filter("contains(t, '>') or contains(t, 'wrote:') or contains(t, 'écrit') or contains(t, 'schrieb') or contains(t, 'Begin')")
 
     def quote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         winnower = Winnower()
@@ -549,7 +589,7 @@ def ancestors(df: DataFrame, index: DataFrame, key: str, text: str) -> DataFrame
     runs = asks.select(F.explode("fps").alias("fp")).distinct()
     # every holder has a vote; messages that hold the same of the wanted runs vote alike, so of them the two
     # smallest keys stand for all (two, as the asker may be one of them)
-    held = index.select("fp", key).join(runs, "fp", "left_semi").groupBy(key).agg(F.sort_array(F.collect_set("fp")).alias("fps"))
+    held = index.filter("own").select("fp", key).join(runs, "fp", "left_semi").groupBy(key).agg(F.sort_array(F.collect_set("fp")).alias("fps"))
     alike = Window.partitionBy("fps").orderBy(key)
     holders = written(held.withColumn("nth", F.row_number().over(alike)).filter("nth <= 2"), "holders")
     classes = holders.groupBy("fps").agg(F.min(key).alias("first"), F.max(key).alias("second"))
