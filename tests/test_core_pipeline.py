@@ -68,6 +68,57 @@ def test_bm25_ranks_and_ties(spark):
     assert {r.id: r.score for r in many.collect()} == pytest.approx(single)
 
 
+def shuffled_rows(plan):
+    """The most rows that any exchange of an executed plan has written."""
+    while "QueryStage" in plan.nodeName() or plan.nodeName() == "AdaptiveSparkPlan":
+        plan = plan.plan() if "QueryStage" in plan.nodeName() else plan.executedPlan()
+    rows = plan.metrics().get("shuffleRecordsWritten")
+    below = plan.children()
+    return max([rows.get().value() if rows.isDefined() else 0, *(shuffled_rows(below.apply(i)) for i in range(below.size()))])
+
+
+def test_corpus_ranks_without_a_table_of_pairs(spark, tmp_path):
+    import duckdb
+
+    import __spark_entry__ as entry
+
+    words = [f"{a}{b}word" for a in "abcd" for b in "vwxyz"]
+    rows = [(2 * k + (half == "b"), f"cl-{k}", half, " ".join(w for i, w in enumerate(words) for _ in range(1 + (k * (i + 1) + (half == "b")) % 7))) for k in range(200) for half in "ab"]
+    frame(spark, rows, "opinion_id long, subject_id string, half string, message string").write.parquet(str(tmp_path / "opinions.parquet"))
+    with duckdb.connect() as c:
+        c.execute(f"CREATE VIEW opinions AS SELECT * FROM read_parquet('{tmp_path}/opinions.parquet/*.parquet')")
+        want = c.execute(entry.oracle_sql()["score_corpus_mrr"]).fetchall()
+    got = entry.queries()["score_corpus_mrr"](spark, str(tmp_path))
+    assert [tuple(r) for r in got.collect()] == want
+    assert 0 < shuffled_rows(got._jdf.queryExecution().executedPlan()) < 200 * 398 // 4  # every query meets every document
+
+
+def test_best_ranks_equal_the_full_ranking(spark):
+    texts = ["red fox", "red red fox den", "red", "red fox", "red blue", None, "red den den", "red fox den blue", "red red"]
+    docs = frame(spark, [(f"d{i}", t) for i, t in enumerate(texts)], "doc_id string, text string")
+    queries = frame(spark, [("p", "red"), ("p", "den"), ("q", "fox"), ("q", "blue"), ("r", "den"), ("s", "red")], "query string, term string")
+    marked = frame(spark, [("p", "d1", False), ("p", "d2", True), ("p", "d4", True), ("q", "d3", True), ("r", "d0", True), ("r", "d5", True), ("s", "d8", True), ("s", "d7", False)], "query string, id string, target boolean")
+    kept = retrieval.bm25_many(docs, queries, "doc_id", "text").join(marked.filter("not target"), ["query", "id"], "left_anti").collect()
+    targets, want = {(m.query, m.id) for m in marked.collect() if m.target}, {}
+    for query in "pqrs":
+        order = sorted((-r.score, r.id) for r in kept if r.query == query)
+        found = [(i, n) for n, (_, i) in enumerate(order, 1) if (query, i) in targets]
+        want |= {query: found[0]} if found else {}
+    assert set(want) == {"p", "q", "s"}
+    for slices, blocks in ((1_000_000, 16_384), (3, 1)):
+        got = retrieval.best_ranks(docs, queries, marked, "doc_id", "text", slices, blocks)
+        assert {r.query: (r.id, r.rank) for r in got.collect()} == want
+
+
+def test_ranks_of_scores_that_round_to_nothing():
+    import pyarrow as pa
+
+    postings = pa.table({"term": ["x", "x", "y"], "id": ["b", "c", "a"], "part": [1e-8, 1e-8, 1e-8]})
+    asks = pa.table({"query": ["q"], "terms": [["x"]], "id": ["c"], "score": [0.0]})
+    assert retrieval._ahead(postings, asks).to_pylist() == [{"query": "q", "ahead": 1}]
+    assert retrieval._ahead(postings.slice(0, 0), asks).to_pylist() == [{"query": "q", "ahead": 0}]
+
+
 def test_fusion(spark):
     a = frame(spark, [(1, 9.0, 1), (2, 5.0, 2)], "id int, score double, rank int")
     b = frame(spark, [(2, 0.9, 1), (3, 0.1, 2)], "id int, score double, rank int")

@@ -6,16 +6,24 @@ A ranking has the columns id, score and rank (1 is best; ties go to the smaller
 from __future__ import annotations
 
 import math
+from bisect import bisect_left
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.text import near_dup_key, tokens
+from ..session import written
 
 #: BM25 constants, digits that scores are rounded to, and the constant of rank fusion (fixed values).
 K1, B, DIGITS, RANK_CONSTANT = 1.2, 0.75, 6, 60
 KEYWORD_BOOST = 2.0
+#: Postings in a slice of the documents and queries in a block, of which one worker holds a pair at a time.
+SLICE_POSTINGS, BLOCK_QUERIES = 1_000_000, 16_384
 
 
 def query_terms(text: str) -> list[str]:
@@ -126,18 +134,80 @@ def postings(docs: DataFrame, key: str, text: str) -> DataFrame:
     return toks.select("id", F.size("toks").alias("dl"), F.explode("toks").alias("term")).groupBy("term", "id", "dl").agg(F.count("*").alias("tf"))
 
 
-def bm25_many(docs: DataFrame, queries: DataFrame, key: str, text: str) -> DataFrame:
-    """(query, id, score) for a table of queries (query, term), all in one job."""
+def _asked_postings(docs: DataFrame, queries: DataFrame, key: str, text: str) -> tuple[DataFrame, int, float]:
+    """(term, id, dl, tf) of the terms that queries (query, term) ask for, with the number of
+    documents and their mean length."""
     n, avgdl = docs.select(F.size(tokens(F.col(text))).alias("dl")).agg(F.count("*"), F.avg("dl")).first()
     # terms nobody asks for leave before anything is grouped
     toks = docs.select(F.col(key).alias("id"), tokens(F.col(text)).alias("toks")).select("id", F.size("toks").alias("dl"), F.explode("toks").alias("term"))
-    index = toks.join(queries.select("term").distinct(), "term", "left_semi").groupBy("term", "id", "dl").agg(F.count("*").alias("tf"))
+    return toks.join(queries.select("term").distinct(), "term", "left_semi").groupBy("term", "id", "dl").agg(F.count("*").alias("tf")), n, float(avgdl or 1)
+
+
+def _weighted(index: DataFrame, n: int, avgdl: float) -> DataFrame:
+    """(term, id, part): what a posting adds to the BM25 score of its document."""
     df = index.groupBy("term").agg(F.count("*").alias("df"))
     idf = F.log(1.0 + (F.lit(float(n)) - F.col("df") + 0.5) / (F.col("df") + 0.5))
     tf = F.col("tf").cast("double")
-    part = idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("dl") / F.lit(float(avgdl or 1))))
-    scored = queries.join(df, "term").join(index, "term").select("query", "id", part.alias("part"))
-    return scored.groupBy("query", "id").agg(F.round(F.sum("part"), DIGITS).alias("score"))
+    part = idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("dl") / F.lit(avgdl)))
+    return index.join(df, "term").select("term", "id", part.alias("part"))
+
+
+def bm25_many(docs: DataFrame, queries: DataFrame, key: str, text: str) -> DataFrame:
+    """(query, id, score) for a table of queries (query, term), all in one job."""
+    parts = _weighted(*_asked_postings(docs, queries, key, text))
+    return queries.join(parts, "term").groupBy("query", "id").agg(F.round(F.sum("part"), DIGITS).alias("score"))
+
+
+def _ahead(postings: pa.Table, asks: pa.Table) -> pa.Table:
+    """(query, ahead): how many documents of postings (term, id, part) stand before each query's
+    (query, terms, id, score), by score and then id. All scores of a query are one array."""
+    term, ids = (postings[c].combine_chunks().dictionary_encode() for c in ("term", "id"))
+    by_term = np.argsort(term.indices.to_numpy(), kind="stable")
+    ends = np.cumsum(np.bincount(term.indices.to_numpy(), minlength=len(term.dictionary)))
+    sort = pc.sort_indices(ids.dictionary)
+    names, place = ids.dictionary.take(sort).to_pylist(), np.empty(len(sort), np.int64)
+    place[sort.to_numpy()] = np.arange(len(sort))
+    doc, part = place[ids.indices.to_numpy()[by_term]], postings["part"].to_numpy()[by_term]
+    terms = asks["terms"].combine_chunks()
+    wanted = pc.fill_null(pc.index_in(terms.flatten(), value_set=term.dictionary), -1).to_numpy()
+    stops = np.cumsum(pc.list_value_length(terms).to_numpy())
+    bests, ahead = np.rint(asks["score"].to_numpy() * 10**DIGITS), np.zeros(len(asks), np.int64)
+    for i, (stop, own) in enumerate(zip(stops, asks["id"].to_pylist(), strict=True)):
+        at = [slice(ends[t - 1] if t else 0, ends[t]) for t in wanted[stops[i - 1] if i else 0 : stop] if t >= 0]
+        if at:
+            total = np.bincount(np.concatenate([doc[a] for a in at]), np.concatenate([part[a] for a in at]), len(names))
+            score, before = np.rint(total * 10**DIGITS), bisect_left(names, own)
+            # a score may round to 0; documents without any term have no place in the ranking
+            ahead[i] = np.count_nonzero(score > bests[i]) + np.count_nonzero((score[:before] == bests[i]) & (total[:before] > 0))
+    return pa.table({"query": asks["query"], "ahead": ahead})
+
+
+def best_ranks(docs: DataFrame, queries: DataFrame, marked: DataFrame, key: str, text: str, slice_postings: int = SLICE_POSTINGS, block_queries: int = BLOCK_QUERIES) -> DataFrame:
+    """(query, id, rank): the best of each query's targets and its rank among all documents that
+    bm25_many scores for the query. marked (query, id, target) names documents of a query: its
+    targets, and with target false those its ranking leaves out. A query none of whose targets
+    holds a term of it has no row. Ids are not null; queries are read several times, so write
+    them first.
+
+    The ranking itself, queries times documents, is never a table. Targets are scored by a join;
+    then slices of the documents meet blocks of the queries, and of each pair of those only the
+    number of documents ahead of a query's target is kept."""
+    index, n, avgdl = _asked_postings(docs, queries, key, text)
+    index = written(index, "postings")
+    parts = _weighted(index, n, avgdl)
+    own = marked.join(queries, "query").join(parts, ["term", "id"]).groupBy("query", "id", "target").agg(F.round(F.sum("part"), DIGITS).alias("score"))
+    placed = own.withColumn("place", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "id")))
+    # what stands before the first target among a query's own documents is left out
+    best = written(placed.filter("target").groupBy("query").agg(F.min(F.struct("place", "id", "score")).alias("b")).select("query", "b.id", "b.score", (F.col("b.place") - 1).alias("left_out")), "targets")
+    slices, blocks = index.count() // slice_postings + 1, best.count() // block_queries + 1
+    asks = queries.join(best, "query").groupBy("query", "id", "score").agg(F.collect_list("term").alias("terms")).withColumn("block", F.pmod(F.xxhash64("query"), F.lit(blocks)))
+    routes = asks.select("block", F.explode("terms").alias("term")).distinct()
+    cells = parts.join(routes, "term").select(F.col("block").alias("of"), F.pmod(F.xxhash64("id"), F.lit(slices)).alias("cut"), "term", "id", "part")
+    asked = asks.withColumn("slice", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(slices - 1).cast("bigint"))))
+    schema = T.StructType([best.schema["query"], T.StructField("ahead", T.LongType())])
+    counted = cells.groupBy("of", "cut").cogroup(asked.groupBy("block", "slice")).applyInArrow(_ahead, schema)
+    ahead = counted.groupBy("query").agg(F.sum("ahead").alias("ahead"))
+    return best.join(ahead, "query").select("query", "id", (F.col("ahead") - F.col("left_out") + 1).cast("int").alias("rank"))
 
 
 def significant_terms(docs: DataFrame, foreground: DataFrame, key: str, text: str, size: int = 30, min_doc_count: int = 3, drop_duplicates: bool = True) -> DataFrame:

@@ -107,12 +107,9 @@ def subject_ranks(spark: SparkSession, d: str) -> DataFrame:
     halves = one_per_key(table(spark, d, "opinions", "opinion_id", "subject_id", "half", "message"), "opinion_id", ["subject_id", "half", "message"]).filter("half in ('a', 'b') and subject_id is not null and message is not null")
     halves = written(halves.select(F.concat_ws(":", "subject_id", "half", F.col("opinion_id").cast("string")).alias("doc_id"), "subject_id", "half", "message"), "halves")
     queries = metrics.subject_terms(halves.filter("half = 'a'"), "subject_id", "doc_id", "message").withColumnRenamed("subject", "query")
-    scored = retrieval.bm25_many(halves, written(queries, "queries"), "doc_id", "message")
-    own = halves.filter("half = 'a'").select(F.col("subject_id").alias("query"), F.col("doc_id").alias("id"))
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("query").orderBy(F.desc("score"), "id")
-    ranked = scored.join(own, ["query", "id"], "left_anti").withColumn("rank", F.row_number().over(w)).select(F.col("query").alias("subject"), F.col("id").alias("doc_id"), "rank")
+    queries = written(queries, "queries")
+    marked = halves.select(F.col("subject_id").alias("query"), F.col("doc_id").alias("id"), (F.col("half") == "b").alias("target"))
+    ranked = retrieval.best_ranks(halves, queries, marked, "doc_id", "message").select(F.col("query").alias("subject"), F.col("id").alias("doc_id"), "rank")
     targets = halves.filter("half = 'b'").select(F.col("subject_id").alias("subject"), "doc_id").join(queries.select(F.col("query").alias("subject")).distinct(), "subject", "left_semi")
     return metrics.target_ranks(ranked, targets)
 
